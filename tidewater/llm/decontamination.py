@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm.session import staged
 
@@ -194,9 +195,9 @@ def annotate(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = No
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c not in (*RESULT, "n_hit", "contaminated")]
     rows = docs.select(*carry, *([] if "text" in carry else ["text"]))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    made = "n_words long, spans array<struct<start:long,end:long>>, items array<long>"
-    declared = ", ".join([*(f"`{c}` {kinds[c]}" for c in rows.columns), made])
+    span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+    made = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.LongType()))]
+    declared = T.StructType([*rows.schema.fields, *made])
     names = [*rows.columns, *RESULT]
     done = None
     for lot in blocks(benchmark):

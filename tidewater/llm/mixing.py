@@ -70,10 +70,12 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
 
 
 def mixed(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), most: float = 2.0, seed: int = 0) -> DataFrame:
-    """docs with each row as often as `mix` takes it. doc_id has to be unique among non-null ids; rows without one are left out."""
-    copies = mix(docs, share, weights, most, seed).where("copies > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "copies")
-    again = docs.join(copies, F.col("doc_id") == F.col("_id"))
-    return again.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """docs with each row as often as `mix` takes it. Rows that share a doc_id, or have none, are each taken as often as
+    these are on average, rounded."""
+    copies = mix(docs, share, weights, most, seed).groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
+    taken = copies.where("_copies > 0")
+    again = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return again.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
