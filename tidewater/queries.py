@@ -245,10 +245,11 @@ def _(t, spark):
     return relations.groups_frame(t("part"), ["p_brand"], F.col("p_size").asc_nulls_last(), -1, 1, {"s": F.sum("p_size")}).select("p_partkey", "s")
 
 
-@frame("w12_bound_by_column", "SELECT l_orderkey, l_linenumber, CAST(sum(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN (l_partkey % 3) PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM lineitem")
+@frame("w12_bound_by_column", "SELECT l_orderkey, l_linenumber, CAST(sum(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN (l_partkey % 3) PRECEDING AND CURRENT ROW) AS BIGINT) AS s FROM lineitem")
 def _(t, spark):
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", (F.col("l_partkey") % 3).alias("back"))
-    return relations.frame_by_column(rows, ["l_orderkey"], [F.col("l_linenumber").asc_nulls_last()], "back", "l_suppkey", "s").select("l_orderkey", "l_linenumber", "s")
+    rows = t("lineitem").withColumn("back", F.col("l_partkey") % 3)
+    order = [F.col(c).asc_nulls_last() for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]
+    return relations.frame_by_column(rows, ["l_orderkey"], order, "back", "l_suppkey", "s").select("l_orderkey", "l_linenumber", "s")
 
 
 # Order, limit, sample, set operations, CTEs
