@@ -12,7 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater import functions as fn
+from tidewater.engine import Engine
+from tidewater.errors import Refused
 from tidewater.operators import joins, relations
+from tidewater.sources import ParquetDirSource, VersionedSource
+from tidewater.sources.files import scratch
+from tidewater.writes import When
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -320,3 +325,168 @@ scalar("f6_datetime", "orders", {"k": lambda: c("o_orderkey"), "y": lambda: fn.e
 scalar("f7_list_struct", "embeddings", {"k": lambda: c("vec_id"), "p": lambda: fn.call("list_position", F.array(lit(3), lit(1), c("label")), lit(1)).cast("int"), "e": lambda: fn.call("list_extract", F.array(lit(3), lit(1), c("label")), lit(3)), "none": lambda: fn.call("list_extract", F.array(lit(3), c("label")), lit(9)), "s": lambda: fn.struct_pack(a=c("vec_id"), b=c("label"))["b"]},
        "SELECT vec_id AS k, coalesce(list_position([3, 1, label], 1), 0)::INTEGER AS p, list_extract([3, 1, label], 3) AS e, list_extract([3, label], 9) AS none, struct_pack(a := vec_id, b := label).b AS s FROM embeddings")
 both("f8_json", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events", "SELECT event_id, get_json_object(props, '$.k') AS k FROM events")
+
+
+# Through the engine: placed on a source, governed, written
+
+
+def placed(name: str, sql: str, text: str, expect: Callable[[Engine], bool], **capable) -> None:
+    """A query of an attached folder; `expect` says where its work has to be placed."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = Engine(spark)
+        e.attach("far", ParquetDirSource(spark, sf_dir, **capable))
+        df = e.sql(text)
+        if not expect(e):
+            raise AssertionError(f"{name} was placed otherwise: {e.slices}")
+        return df
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+near_ = "(SELECT explode(sequence(1, 40)) AS k) near"
+placed("r1_labelled_whole", "SELECT o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 3 GROUP BY o_orderpriority",
+       "SELECT o_orderpriority, count(*) AS n FROM far.orders JOIN far.customer ON o_custkey = c_custkey WHERE c_nationkey = 3 GROUP BY o_orderpriority", lambda e: len(e.slices) == 1 and "aggregate" in e.slices[0].operators)
+placed("r2_largest_subtree", "SELECT upper(c_name) AS n FROM customer WHERE c_acctbal > 0", "SELECT upper(c_name) AS n FROM far.customer WHERE c_acctbal > 0", lambda e: e.slices[0].operators == ["filter"], refused_calls={"upper"})
+placed("r4_filter_split", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND lower(c_mktsegment) = 'building'", "SELECT c_custkey FROM far.customer WHERE c_acctbal > 0 AND lower(c_mktsegment) = 'building'", lambda e: e.slices[0].operators == ["filter"], refused_calls={"lower"})
+placed("r6_seam", "SELECT c_custkey, c_name FROM customer WHERE c_custkey BETWEEN 1 AND 40", f"SELECT c_custkey, c_name FROM far.customer JOIN {near_} ON c_custkey = near.k", lambda e: e.slices[0].sends == ["k"])
+placed("r6_no_seam_without_consent", "SELECT c_custkey FROM customer WHERE c_custkey BETWEEN 1 AND 40", f"SELECT c_custkey FROM far.customer JOIN {near_} ON c_custkey = near.k", lambda e: not e.slices[0].sends, seam=False)
+
+
+@frame("g1_verbs", "SELECT 'refused' AS outcome")
+def _(t, spark):
+    e = Engine(spark)
+    e.attach("far", VersionedSource(spark, scratch(spark), verbs={"r": frozenset()}))
+    e.create_table_as("far.r", t("region"))
+    try:
+        e.sql("SELECT * FROM far.r")
+        outcome = "allowed"
+    except Refused:
+        outcome = "refused"
+    return spark.createDataFrame([(outcome,)], "outcome string")
+
+
+def policed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark)
+    e.attach("far", ParquetDirSource(spark, sf_dir, hidden={"orders": lambda df: df.where("o_orderstatus = 'O'")}))
+    return e.sql("SELECT o_orderpriority, count(*) AS n FROM far.orders WHERE o_totalprice > 1000 GROUP BY o_orderpriority")
+
+
+QUERIES["g3_row_policy"] = policed
+ORACLES["g3_row_policy"] = "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 1000 GROUP BY o_orderpriority"
+
+
+def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = Engine(spark)
+    e.attach("far", ParquetDirSource(spark, sf_dir))
+    rows = [(table_, k, f.name) for _, _, table_ in e.tables() for k, f in enumerate(e.describe(f"far.{table_}").schema.fields) if table_ in ("nation", "orders", "region")]
+    return spark.createDataFrame(rows, "table_name string, position long, column_name string")
+
+
+QUERIES["s10_catalog"] = listed
+ORACLES["s10_catalog"] = "SELECT table_name, CAST(ordinal_position - 1 AS BIGINT) AS position, column_name FROM information_schema.columns WHERE table_name IN ('nation', 'orders', 'region')"
+
+
+def written(name: str, sql: str | None = None, key: tuple[str, ...] = ("c_custkey",)) -> Callable[[Callable], Callable]:
+    """A write on a copy of customer (four columns), and the table after it."""
+
+    def register(f: Callable) -> Callable:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            e = Engine(spark)
+            e.attach("far", VersionedSource(spark, scratch(spark)))
+            rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+            e.create_table_as("far.customer", rows, key, {"c_name": "nobody", "c_nationkey": 7})
+            out = f(e, spark, lambda t: table(spark, sf_dir, t))
+            return out if out is not None else e.table("far.customer")
+
+        QUERIES[name] = run
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return register
+
+
+C4 = "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer"
+
+
+@written("d1_insert", f"{C4} UNION ALL SELECT s_suppkey + 1000000, 'nobody', 7, NULL FROM supplier")
+def _(e, spark, t):
+    e.insert("far.customer", t("supplier").selectExpr("s_suppkey + 1000000 AS c_custkey"))
+
+
+@written("d2_insert_defaults", f"{C4} UNION ALL SELECT NULL, 'nobody', 7, NULL", key=())
+def _(e, spark, t):
+    e.insert_defaults("far.customer")
+
+
+@written("d3_update", "SELECT c_custkey, c_name, CASE WHEN c_acctbal < 0 THEN 0 ELSE c_nationkey END AS c_nationkey, CASE WHEN c_acctbal < 0 THEN c_acctbal + 100 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(e, spark, t):
+    e.update("far.customer", {"c_nationkey": "0", "c_acctbal": "c_acctbal + 100"}, where="c_acctbal < 0")
+
+
+@written("d3_update_from", "SELECT c_custkey, coalesce(n_name, c_name) AS c_name, c_nationkey, c_acctbal FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON c_nationkey = n_nationkey")
+def _(e, spark, t):
+    e.update("far.customer", {"c_name": "s.n_name"}, using=t("nation").where("n_regionkey = 1"), on="t.c_nationkey = s.n_nationkey")
+
+
+@written("d4_delete", f"{C4} WHERE c_acctbal >= 0 AND c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+def _(e, spark, t):
+    e.delete("far.customer", where="c_acctbal < 0")
+    e.delete("far.customer", using=t("nation").where("n_regionkey = 2"), on="t.c_nationkey = s.n_nationkey")
+
+
+@written("d5_merge", f"{C4} WHERE c_custkey > 200 UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal + 1 FROM customer WHERE c_custkey <= 200 AND c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 5000000, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey <= 10")
+def _(e, spark, t):
+    rows = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    source = rows.where("c_custkey <= 200").unionByName(rows.where("c_custkey <= 10").withColumn("c_custkey", F.col("c_custkey") + 5000000))
+    actions = [When(True, "delete", condition="s.c_custkey % 2 = 1"), When(True, "update", {"c_acctbal": "t.c_acctbal + 1"}), When(False, "insert", {c: f"s.{c}" for c in rows.columns})]
+    e.merge("far.customer", source, "t.c_custkey = s.c_custkey", actions)
+
+
+@written("d6_on_conflict", f"{C4} UNION ALL SELECT c_custkey + 7000000, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey <= 5")
+def _(e, spark, t):
+    rows = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal").where("c_custkey <= 5")
+    e.insert("far.customer", rows.unionByName(rows.withColumn("c_custkey", F.col("c_custkey") + 7000000)), on_conflict="nothing")
+
+
+@written("d7_returning", "SELECT c_custkey, c_name, c_nationkey, c_acctbal * 2 AS c_acctbal FROM customer WHERE c_nationkey = 4")
+def _(e, spark, t):
+    return e.update("far.customer", {"c_acctbal": "c_acctbal * 2"}, where="c_nationkey = 4", returning=True).rows
+
+
+@written("d9_bare_writes", "SELECT CAST(0 AS BIGINT) AS n")
+def _(e, spark, t):
+    e.update("far.customer", {"c_acctbal": "1"})
+    e.delete("far.customer")
+    return e.sql("SELECT count(*) AS n FROM far.customer")
+
+
+@written("d10_create_table_as", "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey")
+def _(e, spark, t):
+    e.create_table_as("far.counts", e.sql("SELECT c_nationkey, count(*) AS n FROM far.customer GROUP BY c_nationkey"))
+    return e.table("far.counts")
+
+
+@written("d11_create_view", "SELECT c_custkey FROM customer WHERE c_acctbal > 5000 AND c_nationkey < 5")
+def _(e, spark, t):
+    e.create_view("far.rich", "SELECT c_custkey, c_nationkey FROM far.customer WHERE c_acctbal > 5000")
+    return e.sql("SELECT c_custkey FROM far.rich WHERE c_nationkey < 5")
+
+
+@written("d12_alter_drop", "SELECT c_custkey, CAST(NULL AS VARCHAR) AS note FROM customer")
+def _(e, spark, t):
+    e.create_table_as("far.gone", spark.range(1))
+    e.drop_table("far.gone")
+    e.add_column("far.customer", "note", "string")
+    return e.sql("SELECT c_custkey, note FROM far.customer")
+
+
+@written("d14_transaction", f"{C4} WHERE c_nationkey <> 1")
+def _(e, spark, t):
+    e.begin()
+    e.delete("far.customer", where="c_nationkey = 2")
+    e.rollback()
+    e.begin()
+    e.delete("far.customer", where="c_nationkey = 1")
+    e.commit()
