@@ -82,7 +82,7 @@ def features(value: str, before: str, after: str, path: str, dictionary: frozens
 class Forest:
     """Trees of axis-parallel splits (Gini), each grown on a bootstrap sample with a random part of the features at each node."""
 
-    def __init__(self, trees: int = 40, depth: int = 10, least: int = 3, seed: int = 7):
+    def __init__(self, trees: int = 60, depth: int = 14, least: int = 2, seed: int = 7):
         self.n, self.depth, self.least, self.seed = trees, depth, least, seed
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "Forest":
@@ -134,7 +134,7 @@ class Forest:
         return total / self.n
 
 
-def labelled_findings(dictionary: frozenset[str], each: int = 1500, seed: int = 11) -> list[tuple[str, str, str, str, bool]]:
+def labelled_findings(dictionary: frozenset[str], each: int = 2500, seed: int = 11) -> list[tuple[str, str, str, str, bool]]:
     """(value, before, after, path, is a secret): findings labelled by how they are made. The tables carry no labels of
     findings, so these stand in for a reviewed set; a caller who has one passes it to `train` instead."""
     rng = random.Random(seed)
@@ -148,7 +148,7 @@ def labelled_findings(dictionary: frozenset[str], each: int = 1500, seed: int =
         name = rng.choice(["token", "TOKEN", "api_key", "secret", "password", "AWS_SECRET_ACCESS_KEY", "auth_token", "client_secret", "private_key", "access token"])
         sign, quote = rng.choice([" = ", "=", ": ", " := "]), rng.choice(['"', '"', "'", ""])
         value = rng.choice([
-            lambda: hexes(rng.choice([16, 24, 32, 40, 48, 64])), lambda: pick(string.ascii_letters + string.digits, rng.randint(18, 60)),
+            *[lambda: hexes(rng.choice([16, 24, 32, 32, 40, 48, 64]))] * 3, lambda: pick(string.ascii_letters + string.digits, rng.randint(18, 60)),
             lambda: base64.b64encode(rng.randbytes(rng.randint(15, 48))).decode(), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16),
             lambda: "ghp_" + pick(string.ascii_letters + string.digits, 36), lambda: "sk_live_" + pick(string.ascii_letters + string.digits, 24),
             lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(string.ascii_letters + string.digits, 24),
