@@ -188,7 +188,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """A row for each row of pages(page_id, url, html): page_id, url, text, n_chars, host, path.
 
     Each page scores its containers (share of the text outside menus, adverts and the like, less what is links) and its
-    best VOTES vote, with their scores, for their paths of tags and classes, in which digits are generalised. The path
+    best VOTES vote, with their scores, halved from one to the next, for their paths of tags and classes, in which digits are generalised. The path
     with the most votes wins its host, ties to the first by code point, and each page's text is that of the elements on
     the winning path; a page that has less than 0.3 of its own best container there keeps its own best.
     Blocks are joined by an empty line; white space within a block, line breaks too, becomes one space.
@@ -204,9 +204,9 @@ def extract(pages: DataFrame) -> DataFrame:
             for host, source in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 if host and source:
                     page = Page(source)
-                    for score, i, _ in page.scores()[:VOTES]:
+                    for rank, (score, i, _) in enumerate(page.scores()[:VOTES]):
                         key = host, page.path[i]
-                        total[key] = total.get(key, 0) + max(0, round(score * 1000))
+                        total[key] = total.get(key, 0) + max(0, round(score * 1000 / 2**rank))
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in total], pa.string()), pa.array([p for _, p in total], pa.string()), pa.array(list(total.values()), pa.int64())], names=["host", "path", "votes"])
 
     votes = rows.select("host", "html").mapInArrow(vote, "host string, path string, votes long")
