@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -11,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm.session import staged
 
@@ -36,36 +36,70 @@ def pieces_of(path: str) -> list[str]:
 
 def runs(text: str) -> list[str]:
     """The words of a text, each at most RUN characters."""
-    words = text.split()
+    words = text.replace("\0", "\ufffd").split()
     if len(text) > RUN and any(len(w) > RUN for w in words):
         words = [w[i : i + RUN] for w in words for i in range(0, len(w), RUN)]
     return words
 
 
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Lattice:
-    """Where the pieces of a vocabulary lie in words. Row 0 of a table of probabilities is "no piece", row 1 "unknown"."""
+    """Where the pieces of a vocabulary lie in words. Row 0 of a table of probabilities is "no piece", row 1 "unknown".
+
+    Pieces are found by hash: `keys` has each row's, and `head` and `next` chain the rows of one slot.
+    """
 
     def __init__(self, pieces: list[str]):
-        self.ids = {p: i + 2 for i, p in enumerate(pieces)}
-        self.starts = {p[:n] for p in pieces for n in range(1, len(p) + 1)}
-        self.longest = max(map(len, pieces), default=1)
+        self.longest, bits = max(map(len, pieces), default=1), 20
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.head, self.next = np.zeros(len(pieces) + 2, np.uint64), np.zeros(1 << bits, np.int32), np.zeros(len(pieces) + 2, np.int32)
+        sizes = np.array([len(p) for p in pieces])
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            codes = np.frombuffer("".join(pieces[k] for k in at).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, n)
+            hashed = np.zeros(len(at), np.uint64)
+            for i in range(n):
+                hashed = hashed * STEP + mixed(codes[:, i].astype(np.uint64))
+            self.keys[at + 2] = mixed(hashed)
+        slots = (self.keys >> self.shift).tolist()
+        for row in range(2, len(slots)):
+            self.next[row], self.head[slots[row]] = self.head[slots[row]], row
+        if len(np.unique(self.keys)) < len(pieces) + 1:
+            raise ValueError("two pieces have one hash")
+
+    def rows(self, hashed: np.ndarray) -> np.ndarray:
+        """The row of the piece with each hash, 0 if there is none."""
+        row = self.head[hashed >> self.shift]
+        todo = np.flatnonzero(row)
+        while len(todo):
+            todo = todo[self.keys[row[todo]] != hashed[todo]]
+            row[todo] = self.next[row[todo]]
+            todo = todo[row[todo] > 0]
+        return row
 
     def edges(self, words: list[str]) -> np.ndarray:
         """[end, length - 1, word] -> row of the piece of that length that ends there, 0 if there is none."""
         n = max(map(len, words)) + 1
+        flat = np.frombuffer("".join(("▁" + w).ljust(n, "\0") for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.ascontiguousarray(flat.reshape(len(words), n).T)
+        letters = mixed(codes.astype(np.uint64))
         found = np.zeros((n + 1, min(self.longest, n), len(words)), np.int32)
-        ids, starts = self.ids, self.starts
-        for k, w in enumerate(words):
-            s = "▁" + w
-            for i in range(len(s)):
-                if s[i] not in ids:
-                    found[i + 1, 0, k] = 1
-                for j in range(i + 1, len(s) + 1):
-                    piece = s[i:j]
-                    if piece not in starts:
-                        break
-                    if row := ids.get(piece):
-                        found[j, j - i - 1, k] = row
+        for i in range(n):
+            hashed = np.zeros(len(words), np.uint64)
+            for j in range(i, min(n, i + self.longest)):
+                hashed = hashed * STEP + letters[j]
+                row = self.rows(mixed(hashed))
+                if j == i:
+                    row[(row == 0) & (codes[i] > 0)] = 1
+                found[j + 1, j - i] = row
         return found
 
     @staticmethod
@@ -133,15 +167,14 @@ class Scorer:
         if self.used > CACHED:
             self.forget()
         best, sure = [], []
-        letter = re.compile(r"[^\W\d_]").search
-        for t in texts:
-            if not t or not letter(t):
+        cut = [runs(t) if t and any(map(str.isalpha, t)) else None for t in texts]
+        if new := [*set().union(*(w for w in cut if w)).difference(self.places)]:
+            self.learn(new)
+        for words in cut:
+            if words is None:
                 best.append(-1)
                 sure.append(0.0)
                 continue
-            words = runs(t)
-            if new := [w for w in set(words) if w not in self.places]:
-                self.learn(new)
             get = self.places.__getitem__
             at = np.fromiter(map(get, words), np.int64, len(words))
             total = self.scores[at].sum(axis=0) + self.prior
@@ -235,8 +268,8 @@ def identify(docs: DataFrame, vocabulary: str, carry: bool = False, **how) -> Da
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            for i in range(0, len(b), 1000):
-                part = b.slice(i, 1000)
+            for i in range(0, len(b), 500):
+                part = b.slice(i, 500)
                 best, score = model.scorer().predict(part.column("text").to_pylist()) if model else ([-1] * len(part), [0.0] * len(part))
                 kept = [c for c in part.schema.names if c not in out[-2:]]
                 more = [pa.array([UND if k < 0 else model.langs[k] for k in best], pa.string()), pa.array([round(x, 9) for x in score], pa.float64())]
@@ -249,5 +282,5 @@ def identify(docs: DataFrame, vocabulary: str, carry: bool = False, **how) -> Da
     else:
         rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
         out = ["doc_id", "held_out", "lang_pred", "score"]
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields} | {"lang_pred": "string", "score": "double"}
-    return rows.mapInArrow(predict, ", ".join(f"`{c}` {kinds[c]}" for c in out))
+    made = T.StructType([*(f for f in rows.schema.fields if f.name in out[:-2]), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(predict, made)
