@@ -3,37 +3,32 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.session import slices, small, staged
+from tidewater.llm.session import ready, slices, small, staged
 
 #: Words of a shingle, and the similarity that links: 100 * common >= PERCENT * union.
 SHINGLE = 5
 PERCENT = 75
 #: Numbers of tries to find a partition that fills enough parts.
 LEVELS = 6
-#: A worker forgets its words beyond so many.
-CACHED = 1_000_000
 #: Signatures that a task holds before it passes them on, and that lie in one bucket.
-HELD, BUCKET = 3_000_000, 2_000_000
+HELD, BUCKET = 600_000, 600_000
 #: One document in SAMPLED helps to find common signatures: those that COMMON of them have, the COMMONEST at most.
 #: This only decides an order, in which no link is lost; see `signatures`.
 SAMPLED, COMMON, COMMONEST = 32, 3, 200_000
 #: Members of unsettled groups that lie in one bucket.
-MEMBERS = 250_000
+MEMBERS = 60_000
+#: Bytes of text that are read at once, but for a longer text; and bytes of sketches that are compared at once.
+AT_ONCE, COMPARED = 1 << 20, 1 << 22
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = {c: c + 32 for c in range(65, 91)}
 STEP = np.uint64(0x9E3779B97F4A7C15)
-_words: dict[str, int] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -42,21 +37,62 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A number for each byte, and the powers of STEP by which a byte's place counts.
+BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * STEP)
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEP ** i and STEP ** -i for i < n, modulo 2 ** 64."""
+    up, inverse = np.full(n, STEP), np.full(n, pow(int(STEP), -1, 1 << 64), np.uint64)
+    up[0] = inverse[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(inverse)
+
+
+def shingles_of(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The set of each text as sorted hashes: its runs of SHINGLE words, or all its words as one if it has fewer.
+    A word is bytes without white space, A-Z lower-cased."""
+    raw = [t.encode().lower() if t else b"" for t in texts]
+    lot: list[bytes] = []
+    size = 0
+    for r in raw:
+        if lot and size + len(r) > AT_ONCE:
+            yield from sets_in(lot)
+            lot, size = [], 0
+        lot.append(r)
+        size += len(r) + 1
+    if lot:
+        yield from sets_in(lot)
+
+
+def sets_in(lot: list[bytes]) -> Iterator[np.ndarray]:
+    data = np.frombuffer(b" ".join([b"", *lot, b""]), np.uint8)
+    up, down = powers(1 << max(20, len(data).bit_length()))
+    gap = SPACE[data]
+    starts, ends = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1, np.flatnonzero(~gap[:-1] & gap[1:]) + 1
+    sums = np.cumsum(BYTES[data] * up[: len(data)])
+    words = mixed((sums[ends - 1] - sums[starts - 1]) * down[starts] + (ends - starts).astype(np.uint64))
+    begins = np.cumsum([1, *(len(r) + 1 for r in lot)])
+    first = np.searchsorted(starts, begins)
+    rolled = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
+    for i in range(SHINGLE):
+        rolled = rolled * STEP + words[i : i + len(rolled)]
+    rolled = mixed(rolled + np.uint64(SHINGLE))
+    for a, z in zip(first.tolist(), first[1:].tolist(), strict=False):
+        if z - a >= SHINGLE:
+            yield np.unique(rolled[a : z - SHINGLE + 1])
+        elif z == a:
+            yield np.zeros(0, np.uint64)
+        else:
+            total = np.zeros(1, np.uint64)
+            for w in words[a:z]:
+                total = total * STEP + w
+            yield mixed(total + np.uint64(z - a))
+
+
 def shingles(text: str | None) -> np.ndarray:
-    """The set of a text as sorted hashes: its runs of SHINGLE words, or all its words as one if it has fewer."""
-    words = WORD.findall(text.translate(LOWER)) if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_words) > CACHED:
-        _words.clear()
-    for w in {*words}.difference(_words):
-        _words[w] = xxhash.xxh3_64_intdigest(w)
-    ids = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = min(SHINGLE, len(ids))
-    total = np.full(len(ids) - n + 1, n, np.uint64)
-    for i in range(n):
-        total = mixed(total * STEP + ids[i : i + len(total)])
-    return np.unique(total)
+    return next(shingles_of([text]))
 
 
 def digest(hashes: np.ndarray) -> tuple[int, int]:
@@ -140,24 +176,35 @@ def signatures(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """How many elements lie in each part of the domain (15 at most, two in a byte); a quarter to half as many parts as
-    elements, a power of two."""
-    bits = max(1, (len(hashes) // 4).bit_length())
-    part = (mixed(hashes * STEP) >> np.uint64(64 - bits)).astype(np.int64)
-    counts = np.minimum(np.bincount(part, minlength=1 << bits), 15).astype(np.uint8)
-    return (counts[::2] | counts[1::2] << 4).tobytes()
+    """Whether each part of the domain holds an odd number of the set's elements, a bit for each of two to four times as
+    many parts as elements (a power of two, 64 at least). A part is the hash's last bits, so halves can be folded."""
+    parts_ = 1 << max(6, (2 * len(hashes) - 1).bit_length())
+    part = (mixed(hashes * STEP) & np.uint64(parts_ - 1)).astype(np.int64)
+    return np.packbits((np.bincount(part, minlength=parts_) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def unpacked(raw: bytes, parts_: int) -> np.ndarray:
-    """A sketch, with neighbouring parts added until it has `parts_`."""
-    x = np.frombuffer(raw, np.uint8)
-    counts = np.stack([x & 15, x >> 4], axis=1).astype(np.int16).ravel()
-    return counts.reshape(parts_, -1).sum(axis=1, dtype=np.int16)
+def folded(raw: list[bytes], width: int) -> np.ndarray:
+    """Sketches of one length as rows of `width` bytes: what lies beyond is added, bit by bit."""
+    rows = np.frombuffer(b"".join(raw), np.uint64).reshape(len(raw), -1, width // 8)
+    return rows[:, 0] if rows.shape[1] == 1 else np.bitwise_xor.reduce(rows, axis=1)
 
 
 def apart_at_least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A lower bound of the elements in which sets differ, from their sketches' rows."""
-    return np.abs(a - b).sum(axis=-1, dtype=np.int64)
+    """A lower bound of the elements in which sets differ, from rows of their sketches: parts that differ."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def near_sketches(m: np.ndarray, n: np.ndarray, x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Whether the sets of sizes m and n with sketches x and y may link, pair by pair."""
+    keep = may_link(m, n, np.zeros(len(m), np.int64))
+    sizes = np.array([[len(a), len(b)] for a, b in zip(x, y, strict=True)]).reshape(-1, 2)
+    for kind in np.unique(sizes[keep], axis=0):
+        at, width = np.flatnonzero(keep & (sizes == kind).all(axis=1)), int(kind.min())
+        each = max(1, COMPARED // width)
+        for i in range(0, len(at), each):
+            part = at[i : i + each]
+            keep[part] = may_link(m[part], n[part], apart_at_least(folded([x[k] for k in part], width), folded([y[k] for k in part], width)))
+    return keep
 
 
 def may_link(m: np.ndarray, n: np.ndarray, apart: np.ndarray) -> np.ndarray:
@@ -177,12 +224,9 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), 1000):
-                part = b.slice(i, 1000)
-                rows = []
-                for t in part.column(1).to_pylist():
-                    h = shingles(t)
-                    rows.append((len(h), *digest(h), sketch(h)))
+            for i in range(0, len(b), 250):
+                part = b.slice(i, 250)
+                rows = [(len(h), *digest(h), sketch(h)) for h in shingles_of(part.column(1).to_pylist())]
                 made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["doc_id", "n", "h1", "h2", "sketch"])
 
@@ -194,8 +238,8 @@ def common_signatures(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(0, len(b), 1000):
-                found = [signatures(shingles(t), every=True) for t in b.column(0).slice(i, 1000).to_pylist()]
+            for i in range(0, len(b), 250):
+                found = [signatures(h, every=True) for h in shingles_of(b.column(0).slice(i, 250).to_pylist())]
                 values, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["sig", "n"])
 
@@ -226,9 +270,9 @@ def meeting(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         ids, found, held = [], [], 0
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                h = shingles(text)
+        slices_ = (b.slice(i, 250) for b in batches for i in range(0, len(b), 250))
+        for b in slices_:
+            for doc_id, h in zip(b.column(0).to_pylist(), shingles_of(b.column(1).to_pylist()), strict=True):
                 if not len(h) or (key := hashlib.blake2b(h.tobytes(), digest_size=16).digest()) in seen:
                     continue
                 seen.add(key)
@@ -269,12 +313,9 @@ def checked(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = [c.to_pylist() for c in b.columns]
-            keep = []
-            for m, n, x, y in zip(*columns[2:], strict=True):
-                size = min(len(x), len(y)) * 2
-                keep.append(bool(may_link(np.array(m), np.array(n), apart_at_least(unpacked(x, size), unpacked(y, size)))))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
+            m, n, x, y = b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_pylist(), b.column(5).to_pylist()
+            keep = pa.array(near_sketches(m, n, x, y))
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns[:2]], names=["u", "v"])
 
     left = sets.select(F.col("rep").alias("u"), F.col("n").alias("m"), F.col("sketch").alias("x"))
     right = sets.select(F.col("rep").alias("v"), "n", F.col("sketch").alias("y"))
@@ -282,24 +323,26 @@ def checked(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
     near = staged(near.mapInArrow(sketched, "u long, v long"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[int, np.ndarray] = {}
+        recent: dict[str, np.ndarray] = {}
 
-        def get(doc_id: int, text: str) -> np.ndarray:
-            if doc_id not in recent:
+        def get(text: str) -> np.ndarray:
+            if text not in recent:
                 if len(recent) >= 64:
                     recent.clear()
-                recent[doc_id] = shingles(text)
-            return recent[doc_id]
+                recent[text] = shingles(text)
+            return recent[text]
 
         for b in batches:
-            u, v, s, t = (c.to_pylist() for c in b.columns)
-            keep = [linked(get(a, x), get(c, y)) for a, c, x, y in zip(u, v, s, t, strict=True)]
+            keep = []
+            for i in range(0, len(b), 100):
+                part = b.slice(i, 100)
+                keep += [linked(get(x), get(y)) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
 
     involved = small(staged(near.select(F.explode(F.array("u", "v")).alias("_id")).distinct()))
-    chosen = staged(texts.join(involved, F.col("doc_id") == F.col("_id"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    chosen = staged(texts.join(involved, F.col("doc_id") == F.col("_id"), "left_semi"))
     both = near.join(chosen.select(F.col("doc_id").alias("u"), F.col("text").alias("s")), "u").join(chosen.select(F.col("doc_id").alias("v"), F.col("text").alias("t")), "v")
-    return staged(both.select("u", "v", "s", "t").mapInArrow(compare, "u long, v long"))
+    return staged(both.select("u", "v", "s", "t").mapInArrow(compare, "u long, v long").distinct())
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -332,27 +375,37 @@ def across(members: DataFrame, n_buckets: int) -> DataFrame:
     their sketches. Pairs are compared where they lie and only what may link is returned, once for each bucket."""
 
     def compare(table: pa.Table) -> pa.Table:
-        sig, rep, label, n = (table.column(c).to_numpy() for c in ("sig", "rep", "label", "n"))
-        raw = table.column("sketch").to_pylist()
-        order = np.lexsort((rep, sig))
-        starts = np.flatnonzero(np.concatenate([[True], sig[order][1:] != sig[order][:-1]]))
-        found: list[np.ndarray] = []
-        for a, z in zip(starts, [*starts[1:], len(order)], strict=True):
-            at = order[a:z]
-            widths = np.array([len(raw[i]) * 2 for i in at])
-            for width in np.unique(widths):
-                # pairs whose smaller sketch has this width: both of it, or the other of twice it
-                able = at[(widths == width) | (widths == 2 * width)]
-                rows = np.stack([unpacked(raw[i], int(width)) for i in able])
-                m, labels, own = n[able], label[able], widths[np.isin(at, able)] == width
-                for i in range(len(able) - 1):
-                    js = np.flatnonzero((labels[i + 1 :] != labels[i]) & (own[i] | own[i + 1 :])) + i + 1
-                    if len(js):
-                        js = js[may_link(m[i], m[js], np.zeros(len(js), np.int64))]
-                        js = js[may_link(m[i], m[js], apart_at_least(rows[i], rows[js]))]
-                        if len(js):
-                            found.append(np.stack([np.full(len(js), rep[able[i]]), rep[able[js]]]))
-        pairs = np.unique(np.concatenate([*found, np.zeros((2, 0), np.int64)], axis=1), axis=1)
+        order = np.lexsort((table.column("rep").to_numpy(), table.column("sig").to_numpy()))
+        sig, rep, label, n = (table.column(c).to_numpy()[order] for c in ("sig", "rep", "label", "n"))
+        _, first, who = np.unique(rep, return_index=True, return_inverse=True)
+        raw = table.column("sketch").take(pa.array(order[first])).to_pylist()
+        width = np.array([len(x) for x in raw])
+        bits, place = {}, {}  # sketches by width: those of it, and those of twice it, folded
+        for w in np.unique(width).tolist():
+            own, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+            rows = [folded([raw[k] for k in part], w) for part in (own, twice) if len(part)]
+            bits[w], place[w] = np.concatenate(rows), np.zeros(len(raw), np.int64)
+            place[w][own], place[w][twice] = np.arange(len(own)), np.arange(len(twice)) + len(own)
+        found, live, step = [np.zeros((2, 0), np.int64)], np.arange(len(sig)), 1
+        while len(live):
+            live = live[live + step < len(sig)]
+            live = live[sig[live + step] == sig[live]]  # pairs `step` apart in each signature's members
+            i = live[label[live] != label[live + step]]
+            i = i[may_link(n[i], n[i + step], np.zeros(len(i), np.int64))]
+            a, b = who[i], who[i + step]
+            at = np.minimum(width[a], width[b])
+            for w in np.unique(at).tolist():
+                of = np.flatnonzero(at == w)
+                each = max(1, COMPARED // w)
+                for k in range(0, len(of), each):
+                    part = of[k : k + each]
+                    apart = apart_at_least(bits[w][place[w][a[part]]], bits[w][place[w][b[part]]])
+                    part = part[may_link(n[i[part]], n[i[part] + step], apart)]
+                    found.append(np.stack([rep[i[part]], rep[i[part] + step]]))
+            if step % 64 == 0:
+                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
+            step += 1
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
         return pa.table({"u": pairs.min(axis=0), "v": pairs.max(axis=0)})
 
     dealt = members.withColumn("bucket", F.pmod(F.xxhash64("sig"), F.lit(n_buckets)))
@@ -377,6 +430,7 @@ def join(docs: DataFrame) -> DataFrame:
     no part.
     """
     spark = docs.sparkSession
+    ready(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
     sets = staged(sets_of(texts))
