@@ -15,8 +15,16 @@ SMALL_ROWS = 200_000
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows of a batch between Spark and its Python workers: texts are long, and a batch is held on both sides.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = "1000"
+
+
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package when only the driver was told where it is."""
+    """Let Python workers import this package when only the driver was told where it is, and take smaller batches than
+    Spark's default of 10,000 rows, if the session has that."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
@@ -39,6 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """df, written to a table in the shared folder and read again: its lineage ends here."""
     spark = df.sparkSession
+    ready(spark)
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
