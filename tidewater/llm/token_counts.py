@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: A worker starts a new trie when it has so many nodes.
-NODES = 600_000
+NODES = 2_000_000
 
 _tries: dict[str, "Trie"] = {}
 
@@ -35,7 +36,7 @@ class Trie:
         whole = math.log(sum(1 / (r + 1) for r in ranks.values()))
         self.score = {p: -math.log(r + 1) - whole for p, r in ranks.items()}
         self.rare = min(self.score.values())
-        self.longest = max(map(len, ranks))
+        self.ends = {p[i:] for p in ranks for i in range(len(p))}
         self.clear()
 
     @classmethod
@@ -48,37 +49,40 @@ class Trie:
         return trie
 
     def clear(self) -> None:
-        self.next: list[dict[str, int]] = [{}]
-        self.best, self.pieces, self.summed, self.seen = [0.0], [0], [0.0], [0]
+        self.next: dict[int, int] = {}  # node and character -> node
+        self.best, self.summed = array("d", [0.0]), array("d", [0.0])
+        self.pieces, self.seen = array("l", [0]), array("l", [0])
         self.words: dict[str, int] = {}
 
     def insert(self, word: str) -> int:
         """The node of a word."""
-        node, path, score = 0, [0], self.score
+        node, path, score, ends = 0, [0], self.score, self.ends
         for j, c in enumerate(word, 1):
-            there = self.next[node].get(c)
+            key = node << 21 | ord(c)
+            there = self.next.get(key)
             if there is None:
                 best, fewest, sums = -math.inf, 0, []
-                for length in range(1, min(j, self.longest) + 1):
-                    piece = word[j - length : j]
+                for start in range(j - 1, -1, -1):
+                    piece = word[start:j]
                     s, n = score.get(piece), 1
                     if s is None:
-                        if length > 1:
+                        if start == j - 1:
+                            n = len(c.encode("utf-8", "surrogatepass"))
+                            s = n * self.rare
+                        elif piece not in ends:
+                            break
+                        else:
                             continue
-                        n = len(c.encode("utf-8", "surrogatepass"))
-                        s = n * self.rare
-                    back = path[j - length]
+                    back = path[start]
                     total, n = self.best[back] + s, self.pieces[back] + n
                     sums.append(self.summed[back] + s)
                     if total > best or total == best and n < fewest:
                         best, fewest = total, n
                 top = max(sums)
-                there = len(self.best)
-                self.next[node][c] = there
-                self.next.append({})
+                there = self.next[key] = len(self.best)
                 self.best.append(best)
                 self.pieces.append(fewest)
-                self.summed.append(top + math.log(sum(math.exp(s - top) for s in sums)))
+                self.summed.append(top + math.log(sum([math.exp(s - top) for s in sums])))
                 self.seen.append(0)
             node = there
             path.append(node)
