@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,11 +25,13 @@ class Encoder:
     """Encodes texts with a byte-level BPE of the tokenizers library.
 
     Such a tokenizer splits a text before each single space that a word follows, so the ids of a text are those of its
-    pieces, and each distinct piece is encoded once by the library and then remembered as packed ids. A text in which
-    white space meets white space across a space is encoded whole.
+    pieces, and each distinct piece is encoded once by the library and then remembered as packed ids. A text that has a
+    space beside white space, or white space other than spaces and line feeds, is encoded whole.
     """
 
-    runs = re.compile(r"\s \s?|  |\s\s")
+    meets = ("  ", " \n", "\n ")
+    #: White space but for space and line feed, and what marks the cuts.
+    others = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"] + ["\x00", "\u180e", "\u200b", "\ufeff"]
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -37,6 +39,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"  # of the machine's own order: little-endian, as Arrow's files are
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -46,21 +49,28 @@ class Encoder:
         return _encoders[path]
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
+        return array(self.code, ids).tobytes()
+
+    def cut(self, text: str | None) -> list[str] | None:
+        """The pieces of a text, None if it has to be encoded whole."""
+        if not text:
+            return []
+        if any(x in text for x in self.meets) or any(x in text for x in self.others):
+            return None
+        return text.replace(" ", "\x00 ").split("\x00")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed; null counts as empty."""
-        cut = [None if t is None or self.runs.search(t) else t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None for t in texts]
+        cut = [self.cut(t) for t in texts]
         if len(self.known) > CACHED:
             self.known.clear()
         known = self.known
-        new = [p for p in {p for pieces in cut if pieces for p in pieces} if p not in known]
+        new = [*set().union(*(c for c in cut if c)).difference(known)]
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            for p, e in zip(part, self.library.encode_batch(part, add_special_tokens=False), strict=True):
-                known[p] = self.pack(e.ids)
+            known.update(zip(part, [self.pack(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False)], strict=True))
         get = known.__getitem__
-        return [b"" if not t else b"".join(map(get, pieces)) if pieces else self.pack(self.library.encode(t, add_special_tokens=False).ids) for t, pieces in zip(texts, cut, strict=True)]
+        return [self.pack(self.library.encode(t, add_special_tokens=False).ids) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]
 
 
 def schema(kind: np.dtype, length: int) -> pa.Schema:
