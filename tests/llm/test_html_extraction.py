@@ -22,6 +22,20 @@ def test_page(source, text):
     assert Page(source).extract(None) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<article><p>a <i class=icon aria-hidden=true></i> b</p><p>c</p><p>d</p></article>", "a b\n\nc\n\nd"),
+        ("<article><p>a <span class=ad>buy <span>it</span> now</span> b <em class=share>s</em>c</p><p>d</article>", "a b c\n\nd"),
+        ("<article><time class=header-date>May</time><p>a</p><div>b<span class=ad>x</span></div>c</article>", "a\n\nb\n\nc"),
+        ("<article><p>a <span class=ad>left open</p><p>b<p>c</article>", "a\n\nb\n\nc"),
+        ("<article><p><span>a <span class=ad>x</span> b</span> c</p></article>", "a b c"),
+    ],
+)
+def test_text_after_a_skipped_inline_element(source, text):
+    assert Page(source).extract(None) == text
+
+
 def test_hosts_agree(spark):
     good = "<div class='box-{0}'><p>{1}</p><p>{1}</p></div>"
     pages = [(i, f"http://Example.com:80/{i}", f"<body><div class='x{i}'>" + good.format(i, "some prose that is long " * 5) + "</div><div class='extra'>" + ("side talk " * {3: 30, 4: 60}.get(i, 2)) + "</div></body>") for i in range(9)]

@@ -125,6 +125,8 @@ class Page:
                     self.in_link = False
                 elif tag in BLOCK or tag in NEVER:
                     self.close(tag)
+                elif k := self.skipped(tag):
+                    del self.stack[k:]
                 continue
             attributes = m[3] or m[6] or ""
             if tag in RAW:
@@ -136,7 +138,7 @@ class Page:
                 self.in_link = True
             elif tag in BLOCK or tag in NEVER:
                 self.open(tag, attributes)
-            elif tag not in VOID and attributes and noisy(attributes)[1]:
+            elif tag not in VOID and (attributes and noisy(attributes)[1] or self.skipped(tag)):
                 self.skip_inline(tag)
         else:
             at = n
@@ -144,8 +146,25 @@ class Page:
         self.flush()
 
     def skip_inline(self, tag: str) -> None:
-        """An inline element that is not part of the article, such as an advert in a span, is read as a block of its own."""
-        self.open(tag, "hidden")
+        """An inline element that is not part of the article, such as an advert in a span: hidden up to its own end tag or the
+        end of the block that holds it. It ends no paragraph and divides no text."""
+        above = self.stack[-1]
+        self.parent.append(above)
+        self.tag.append(tag)
+        self.path.append(f"{self.path[above]}/{tag}")
+        self.hidden.append(True)
+        self.stack.append(len(self.tag) - 1)
+
+    def skipped(self, tag: str) -> int:
+        """Where in the stack the innermost skipped inline element of this tag is, within its container; 0: nowhere."""
+        if self.hidden[self.stack[-1]]:
+            for k in range(len(self.stack) - 1, 0, -1):
+                there = self.tag[self.stack[k]]
+                if there == tag:
+                    return k
+                if there in SCOPE:
+                    break
+        return 0
 
     def scores(self) -> list[tuple[float, int, int]]:
         """(score, element, visible characters) of containers that hold text, best first."""
