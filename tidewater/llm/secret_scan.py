@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A run of key characters, this long at least, is a candidate.
+#: A run of key characters, this long at least, is a candidate wherever it stands; next to a secret word, any run is.
 SHORTEST = 16
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.\-])[A-Za-z0-9+/_.\-]{%d,}={0,2}(?![A-Za-z0-9+/_\-])" % SHORTEST)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.\-])[A-Za-z0-9+/_.\-]{%d,}={0,2}(?![A-Za-z0-9+/_\-])" % SHORTEST)
 #: Characters before and after a candidate whose words are its neighbours.
 NEAR = 48
 
@@ -27,6 +27,9 @@ SECRET_WORDS = set("token secret key apikey password passwd pwd auth authorizati
 PLACE_WORDS = set("example sample dummy test placeholder your changeme xxxx fake mock todo insert demo default".split())
 DIGEST_WORDS = set("sha sha1 sha256 sha512 md5 checksum commit hash digest integrity revision uuid guid id rev etag build version".split())
 WORDS = re.compile(r"[a-z0-9]+")
+#: A name from its first secret word on, and the run that follows it: after a sign, or after white space alone.
+NAME = re.compile(rf"(?:{'|'.join(sorted(SECRET_WORDS, key=lambda w: (-len(w), w)))})[A-Za-z0-9_.\-]*+", re.I | re.A)
+BESIDE = re.compile(r"""["'`\]]*+\s*+(?P<sign>[:=]*+>?+)\s*+["'`]*+(?<![A-Za-z0-9+/_.\-])(?P<value>[A-Za-z0-9+/_.\-]++={0,2}+)""")
 
 FEATURES = (
     "length", "entropy", "upper", "lower", "digit", "symbol", "changes", "vowel_pairs", "longest_class", "repeats", "dictionary",
@@ -170,6 +173,22 @@ def labelled_findings(dictionary: frozenset[str], each: int = 2500, seed: int =
             lambda: (pick(string.digits, rng.randint(16, 30)), prose() + " number ", " " + prose()), lambda: (pick("0123456789abcdef", 32), "example token = \"", "\" placeholder"),
         ])()
         out.append((*false, rng.choice(code + docs), False))
+    for _ in range(each // 2):  # what stands next to a secret word: passwords that are short or of letters alone, and plain words and names
+        name = rng.choice(["password", "PASSWORD", "passwd", "pwd", "secret", "token", "api_key", "db_password", "auth_token", "client_secret", "key"])
+        sign, quote = rng.choice([" = ", "=", ": ", ":", " := "]), rng.choice(['"', "'", "", ""])
+        letters, word = string.ascii_letters + string.digits, lambda: rng.choice(words)
+        value = rng.choice([
+            lambda: pick(letters, rng.randint(6, 15)), lambda: pick(string.ascii_letters, rng.randint(8, 40)), lambda: pick(string.ascii_lowercase, rng.randint(8, 24)),
+            lambda: hexes(rng.choice([8, 12])), lambda: word() + pick(string.digits, rng.randint(1, 4)), lambda: word().title() + pick(string.digits, rng.randint(1, 4)),
+        ])()
+        out.append((value, f"{prose()} {name}{sign}{quote}", quote + rng.choice([" ", "\n"]) + prose(), rng.choice(code), True))
+        false = rng.choice([
+            lambda: (word(), f"{prose()} {rng.choice(sorted(SECRET_WORDS))} ", " " + prose()), lambda: (word(), f"{prose()} {name}{sign}{quote}", quote + " " + prose()),
+            lambda: (rng.choice(["string", "required", "none", "null", "true", "false", "changeme", "xxxx", "your_password", "example", "redacted"]), f"{name}{sign}{quote}", quote + " " + prose()),
+            lambda: ("_".join(rng.choices(words, k=2)), f"{name}{sign}", rng.choice(["(", ")", "\n", ", "]) + prose()), lambda: (".".join(rng.choices(words, k=2)), f"{name}{sign}", "\n" + prose()),
+            lambda: (pick(string.digits, rng.randint(1, 4)), f"{prose()} {rng.choice(['key', 'token', 'access'])}{rng.choice([' ', ': ', '='])}", " " + prose()),
+        ])()
+        out.append((*false, rng.choice(code + docs), False))
     return out
 
 
@@ -179,19 +198,33 @@ def train(findings: list[tuple[str, str, str, str, bool]], dictionary: frozenset
     return Forest().fit(x, np.array([f[4] for f in findings]))
 
 
+def beside_names(text: str) -> Iterator[tuple[int, str]]:
+    """(start, value) of runs of any length and of any key characters next to a secret word: behind a sign, the word may be a
+    part of a name; behind white space alone, it must stand by itself."""
+    for m in NAME.finditer(text):
+        near = BESIDE.match(text, m.end())
+        if near and (near["sign"] or m[0].lower() in SECRET_WORDS and not text[max(0, m.start() - 1) : m.start()].isalnum()):
+            yield near.start("value"), near["value"]
+
+
 def candidates(text: str) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, value, before, after). Runs of letters alone or of digits and separators alone are not candidates."""
-    for m in CANDIDATE.finditer(text):
-        value = m[0].rstrip(".-")
-        if len(value) >= SHORTEST and re.search(r"[0-9]", value) and re.search(r"[A-Za-z]", value):
-            end = m.start() + len(value)
-            yield m.start(), end, value, text[max(0, m.start() - NEAR) : m.start()], text[end : end + NEAR]
+    """(start, end, value, before, after), in order. Runs of letters alone or of digits and separators alone, and runs of less
+    than SHORTEST characters, are candidates only next to a secret word."""
+    found = {m.start(): m[0].rstrip(".-") for m in CANDIDATE.finditer(text)}
+    found = {at: v for at, v in found.items() if len(v) >= SHORTEST and re.search(r"[0-9]", v) and re.search(r"[A-Za-z]", v)}
+    for at, value in beside_names(text):
+        if (value := value.rstrip(".-")) and re.search(r"[A-Za-z0-9]", value):
+            found.setdefault(at, value)
+    for at, value in sorted(found.items()):
+        end = at + len(value)
+        yield at, end, value, text[max(0, at - NEAR) : at], text[end : end + NEAR]
 
 
 def scan(docs: DataFrame, vocabulary: str, forest: Forest | None = None, at_least: float = 0.5, path: str | None = None) -> DataFrame:
     """A row for each row of docs(doc_id, text): doc_id, n_candidates, n_secrets, secrets (start, end, score in characters).
 
-    Candidates are runs of key characters with a digit and a letter; the forest scores each by its length, character
+    Candidates are runs of SHORTEST key characters or more with a digit and a letter, and next to a secret word all runs of
+    key characters; the forest scores each by its length, character
     transitions, dictionary coverage, the path (column `path`, if docs has one) and neighbouring words, and those below
     `at_least` are false findings. Scores are rounded to 6 digits.
 
