@@ -38,6 +38,23 @@ def test_same_as_brute_force(documents, monkeypatch):
         assert got == near_components(rows)
 
 
+def test_all_links_are_counted(documents, monkeypatch):
+    """Also within a component that several blocks hold, and for each text of a repeated doc_id."""
+    rng = random.Random(3)
+    group = [f"v{i}" for i in range(60)]
+    dense = [(1000 + i, " ".join([*group, f"end{i}"])) for i in range(30)]
+    rows = [*texts(3, 300), *dense, (1000, " ".join(group[:58]))]
+    rng.shuffle(rows)
+    sets = [(i, frozenset(shingles(t).tolist())) for i, t in rows]
+    classes = {s for _, s in sets if s}
+    near = lambda a, b: a != b and 100 * len(a & b) >= 75 * len(a | b)
+    expected = sorted((i, len(s), sum(near(s, o) for o in classes) if s else 0) for i, s in sets)
+    assert sum(n == 30 for _, _, n in expected) >= 30
+    for block in (7, jaccard_join.BLOCK):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in join(documents(rows)).collect()) == expected
+
+
 def test_linked_sets_share_a_signature():
     """In any order of common signatures, and for sizes at the edges of bands."""
     rng = np.random.default_rng(5)

@@ -25,6 +25,8 @@ HELD, BUCKET = 600_000, 600_000
 SAMPLED, COMMON, COMMONEST = 32, 3, 200_000
 #: Members of unsettled groups that lie in one bucket.
 MEMBERS = 60_000
+#: Classes, and elements of their sets, of one component that a block holds.
+BLOCK, ELEMENTS = 2_000, 1_000_000
 #: Bytes of text that are read at once, but for a longer text; and bytes of sketches that are compared at once.
 AT_ONCE, COMPARED = 1 << 20, 1 << 22
 
@@ -412,13 +414,65 @@ def across(members: DataFrame, n_buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(compare, "u long, v long").distinct()
 
 
+def degrees(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(h1, h2, n_links) of classes(h1, h2, rep, n, label): how many classes each links with, exactly. Links lie within components.
+
+    A component is dealt into blocks, and each pair of its blocks is a task's: what its classes have in common is counted
+    element by element, and only a number for each class is returned. Small components share a task."""
+    spark = classes.sparkSession
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / ELEMENTS))
+    large = small(staged(classes.groupBy("label").agg(blocks.alias("g")).where("g > 1").withColumnRenamed("label", "_label")))
+    n_buckets = slices(spark, classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], ELEMENTS)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), 100):
+                found = list(shingles_of(b.column(0).slice(i, 100).to_pylist()))
+                keys = [digest(h) for h in found]
+                made = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([h.tobytes() for h in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["_1", "_2", "hashes"])
+
+    involved = small(staged(classes.select(F.col("rep").alias("_id")).distinct()))
+    chosen = texts.join(involved, F.col("doc_id") == F.col("_id"), "left_semi").select("text")
+    chosen = chosen.mapInArrow(sets, "_1 long, _2 long, hashes binary").groupBy("_1", "_2").agg(F.first("hashes").alias("hashes"))
+    own = classes.join(large, F.col("label") == F.col("_label"), "left").join(chosen, (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")))
+    g = F.coalesce("g", F.lit(1))
+    own = own.select("h1", "h2", "label", "hashes", F.pmod("h2", g).alias("part"), g.alias("g"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+    dealt = dealt.withColumn("bucket", F.when(F.col("g") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(n_buckets))))
+    dealt = dealt.select("h1", "h2", "label", "hashes", "part", (F.col("g") > 1).alias("alone"), "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+
+    def count(table: pa.Table) -> pa.Table:
+        table = table.take(pa.array(np.argsort(table.column("label").to_numpy(), kind="stable")))
+        label, part, raw = table.column("label").to_numpy(), table.column("part").to_numpy(), table.column("hashes").to_pylist()
+        split = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
+        n = np.array([len(x) // 8 for x in raw])
+        who, ends = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+        _, element, having = np.unique(np.frombuffer(b"".join(raw), np.uint64) ^ mixed(label.astype(np.uint64) + STEP)[who], return_inverse=True, return_counts=True)
+        holders, starts = who[np.argsort(element, kind="stable")], np.cumsum(having) - having
+        first, last = np.searchsorted(label, label), np.searchsorted(label, label, "right")
+        links = np.zeros(len(n), np.int64)
+        for i, (a, z) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
+            e = element[ends[i] - n[i] : ends[i]]
+            e = e[having[e] > 1]
+            c = having[e]
+            at = np.repeat(starts[e] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+            common = np.bincount(holders[at] - a, minlength=z - a)
+            near = 100 * common >= PERCENT * (n[i] + n[a:z] - common)
+            near[i - a] = False
+            links[i] = (near & (part[a:z] != part[i])).sum() if split else near.sum()
+        return table.select(["h1", "h2"]).append_column("n_links", pa.array(links))
+
+    counted = dealt.groupBy("alone", "bucket", "lo", "hi").applyInArrow(count, "h1 long, h2 long, n_links long")
+    return counted.groupBy("h1", "h2").agg(F.sum("n_links").alias("n_links"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """A row for each row of docs(doc_id, text): doc_id, n_shingles, n_links, component_id.
 
     A document's set is its distinct runs of 5 words (of fewer words, all as one). Documents link when 100 * common >= 75
-    * union; component_id is the smallest doc_id that links reach. n_links counts the classes of equal sets that the
-    document's class was found linked with; links within a component that are not needed to hold it together are not
-    all looked for.
+    * union; component_id is the smallest doc_id that links reach. n_links is the number of other classes of equal sets
+    that the row's own class links with: all pairs within a component are counted (see `degrees`).
 
     Equal sets are one class, named by its smallest doc_id. Two classes that link share a PartEnum signature (see
     `signatures`). Of each signature's classes, the smallest is compared with the others; then classes that share a
@@ -437,7 +491,7 @@ def join(docs: DataFrame) -> DataFrame:
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = staged(classes)
     member = sets.select("doc_id", F.col("n").alias("n_shingles"), F.col("h1").alias("_1"), F.col("h2").alias("_2"))
-    member = staged(member.join(classes.select("h1", "h2", "rep"), (F.col("_1") == F.col("h1")) & (F.col("_2") == F.col("h2")), "left").select("doc_id", "n_shingles", "rep"))
+    member = staged(member.join(classes.select("h1", "h2", "rep"), (F.col("_1") == F.col("h1")) & (F.col("_2") == F.col("h2")), "left").select("doc_id", "n_shingles", "rep", "_1", "_2"))
     by_rep = staged(classes.groupBy("rep").agg(F.max(F.struct("n", "sketch")).alias("s")).select("rep", "s.n", "s.sketch"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = meeting(known, common_signatures(known), slices(spark, total, BUCKET))
@@ -454,8 +508,10 @@ def join(docs: DataFrame) -> DataFrame:
     rest = staged(rest.join(by_rep.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).select("sig", "rep", "label", "n", "sketch"))
     more = staged(across(rest, slices(spark, rest.count(), MEMBERS)))
     links = staged(links.union(checked(more, known, by_rep)).distinct())
-    label = components(links).withColumnRenamed("id", "_id")
-    degree = links.select(F.explode(F.array("u", "v")).alias("_at")).groupBy("_at").agg(F.count(F.lit(1)).alias("n_links"))
-    of_class = label.join(degree, F.col("_id") == F.col("_at"), "left").select("_id", "label", "n_links")
-    rows = member.join(staged(of_class), F.col("rep") == F.col("_id"), "left")
+    label = staged(components(links).withColumnRenamed("id", "_id"))
+    label = label.union(label.select(F.col("label").alias("_id"), "label").distinct())  # components() leaves out the smallest ids
+    linked_classes = staged(classes.join(label, F.col("rep") == F.col("_id")).select("h1", "h2", "rep", "n", "label"))
+    degree = degrees(linked_classes, known).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "n_links")
+    of_class = linked_classes.join(degree, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left").select("h1", "h2", "label", "n_links")
+    rows = member.join(staged(of_class), (F.col("_1") == F.col("h1")) & (F.col("_2") == F.col("h2")), "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
