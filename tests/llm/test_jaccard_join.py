@@ -31,9 +31,13 @@ def texts(seed, n):
 
 
 def test_same_as_brute_force(documents, monkeypatch):
+    """Also where groups are dealt into blocks, and where common signatures are."""
     monkeypatch.setattr(jaccard_join, "MEMBERS", 40)
     for seed in (1, 2):
         rows = texts(seed, 500)
+        if seed == 2:
+            for name, n in (("GROUP", 12), ("FEW", 4), ("HOT", 20), ("SAMPLED", 2)):
+                monkeypatch.setattr(jaccard_join, name, n)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in join(documents(rows, n=1, sig=2, rep=3, label=4)).collect()}
         assert got == near_components(rows)
 
@@ -55,6 +59,12 @@ def test_all_links_are_counted(documents, monkeypatch):
         assert sorted((r.doc_id, r.n_shingles, r.n_links) for r in join(documents(rows)).collect()) == expected
 
 
+def test_rows_of_one_id_are_documents_of_their_own(documents):
+    a, b = [f"a{i}" for i in range(104)], [f"b{i}" for i in range(204)]
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (9, " ".join([*a[:102], "x", "y"])), (5, " ".join(["z", *b])), (11, "q")]
+    assert sorted((r.doc_id, r.n_shingles, r.n_links, r.component_id) for r in join(documents(rows)).collect()) == [(5, 201, 1, 5), (7, 100, 1, 7), (7, 200, 1, 5), (9, 100, 1, 7), (11, 1, 0, 11)]
+
+
 def test_linked_sets_share_a_signature():
     """In any order of common signatures, and for sizes at the edges of bands."""
     rng = np.random.default_rng(5)

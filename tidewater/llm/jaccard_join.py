@@ -11,20 +11,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.session import ready, slices, small, staged
+from tidewater.llm.session import slices, small, staged, tidied
 
 #: Words of a shingle, and the similarity that links: 100 * common >= PERCENT * union.
 SHINGLE = 5
 PERCENT = 75
 #: Numbers of tries to find a partition that fills enough parts.
 LEVELS = 6
+#: A part of the domain has three sub-parts; each two of them are a subset that makes a signature.
+SUBSETS = np.array([[0, 1], [0, 2], [1, 2]])
 #: Signatures that a task holds before it passes them on, and that lie in one bucket.
 HELD, BUCKET = 600_000, 600_000
 #: One document in SAMPLED helps to find common signatures: those that COMMON of them have, the COMMONEST at most.
 #: This only decides an order, in which no link is lost; see `signatures`.
 SAMPLED, COMMON, COMMONEST = 32, 3, 200_000
-#: Members of unsettled groups that lie in one bucket.
-MEMBERS = 60_000
+#: A signature that so many documents have, by the sample, is dealt to several buckets.
+HOT = 75_000
+#: Members of open groups in one bucket; members, and bytes of their sketches, of one group that a block holds; the
+#: largest groups that are compared side by side.
+MEMBERS, GROUP, SKETCHES, FEW = 60_000, 6_000, 1 << 23, 16
 #: Classes, and elements of their sets, of one component that a block holds.
 BLOCK, ELEMENTS = 2_000, 1_000_000
 #: Bytes of text that are read at once, but for a longer text; and bytes of sketches that are compared at once.
@@ -129,29 +134,38 @@ def parts(t: int) -> tuple[int, int]:
     """(parts of the domain, most elements in which a linked pair of the band differs).
 
     common >= PERCENT / (100 + PERCENT) * (a + b), so a pair differs in (a + b) * (100 - PERCENT) / (100 + PERCENT) at most.
-    There are enough parts that a set of the band's least size very likely fills more than that number.
+    There are enough parts that a set of the band's least size very likely has more signatures than so many elements spoil.
     """
     low, high = band(t)
     apart = (high + largest_partner(high)) * (100 - PERCENT) // (100 + PERCENT)
-    n = apart + 1
+    n = apart // 2 + 1
     while n < 4 * low + 4:
-        empty = (1 - 1 / n) ** low
-        if n * (1 - empty) - 2 * (n * empty * (1 - empty)) ** 0.5 >= apart + 1:
+        empty = (1 - 1 / (3 * n)) ** low
+        one = 3 * (1 - empty) * empty**2
+        several = 1 - one - empty**3
+        if 3 * n * several + 2 * n * one - spoilt(apart, n * one, n * several) >= 1 + 2 * (3 * n * empty * (1 - empty)) ** 0.5:
             break
         n += 1
     return n, apart
 
 
+def spoilt(apart: int, one: float, several: float) -> float:
+    """Most signatures that `apart` differing elements change, of a set that has elements in one sub-part of so many
+    parts (two signatures each) and in two or three of so many others (three): a part's first element spoils two."""
+    return 2 * min(apart, one + several) + min(max(0, apart - one - several), several)
+
+
 def signatures(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None = None, every: bool = False) -> np.ndarray:
     """PartEnum signatures of a set: two linked sets share one at least.
 
-    For each band that the set may meet a partner in, the domain is dealt by hash into parts, and what the set has in
-    a part is a signature. A linked pair differs in no more than `apart` parts; so of the parts that a set fills, all but
-    `apart` agree with the partner's, and the first of these in any order that both follow is among each one's first
-    `apart` + 1. Only those are kept, in an order that puts `common` signatures (hashes in order, how common each is)
-    last: what many documents share, such as a passage, then brings few of them together, and no link is lost.
-    A set that fills no more than `apart` parts is dealt again by another hash. Of a linked pair it is enough that one
-    fills more; two that both do not meet in the next deal, or after LEVELS deals by signatures of their empty parts, too.
+    For each band that the set may meet a partner in, the domain is dealt by hash into parts and these into three
+    sub-parts; what the set has in two sub-parts of a part is a signature, for each subset of two. A linked pair differs in
+    no more than `apart` elements, which can change no more than `spoilt` of a set's signatures; so the first that both
+    have, in any order that both follow, is among each one's first `spoilt` + 1. Only those are kept, in an order that
+    puts `common` signatures (hashes in order, how common each is) last: what many documents share, such as a passage,
+    then brings few of them together, and no link is lost.
+    A set that has no more signatures than can be spoilt is dealt again by another hash. Of a linked pair it is enough that
+    one has more; two that both do not meet in the next deal, or after LEVELS deals by their empty signatures, too.
     """
     out = []
     for t in instances(len(hashes)):
@@ -159,21 +173,29 @@ def signatures(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray] | None
         for level in range(LEVELS):
             seed = np.uint64((t * LEVELS + level + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
             x = np.sort(mixed(hashes ^ seed))
-            part = ((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            found = mixed(np.add.reduceat(mixed(x + STEP), starts) + part[starts] * STEP ^ seed)
-            if len(found) > apart:
+            sub = (((x >> np.uint64(32)) * np.uint64(3 * n)) >> np.uint64(32)).astype(np.int64)
+            starts = np.flatnonzero(np.concatenate([[True], sub[1:] != sub[:-1]]))
+            held = np.zeros(3 * n, np.uint64)
+            held[sub[starts]] = mixed(np.add.reduceat(mixed(x + STEP), starts))
+            full = np.zeros(3 * n, bool)
+            full[sub[starts]] = True
+            held, full = held.reshape(n, 3), full.reshape(n, 3)
+            name = np.arange(3 * n, dtype=np.uint64).reshape(n, 3) * STEP ^ seed
+            made = mixed(held[:, SUBSETS[:, 0]] * STEP + held[:, SUBSETS[:, 1]] + name)
+            some = full[:, SUBSETS].any(axis=2)
+            found, filled = made[some], full.sum(axis=1)
+            most = int(spoilt(apart, int((filled == 1).sum()), int((filled > 1).sum())))
+            if len(found) > most:
                 found = np.sort(found)
                 if common is not None and len(common[0]):
                     at = np.minimum(np.searchsorted(common[0], found), len(common[0]) - 1)
                     weight = np.where(common[0][at] == found, common[1][at], 0)
                     found = found[np.argsort(weight, kind="stable")]
-                out.append(found if every else found[: apart + 1])
+                out.append(found if every else found[: most + 1])
                 break
             out.append(found)
         else:
-            rest = np.setdiff1d(np.arange(n, dtype=np.uint64), part[starts])
-            out.append(mixed(rest * STEP ^ seed))
+            out.append(mixed(name[~some]))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -255,13 +277,23 @@ def meeting(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int
     """(sig, doc_id) of signatures that different documents have.
 
     A task keeps the first of its documents with the same set, and packs signatures by bucket: 5 bytes and the id each.
-    A bucket has about BUCKET signatures, whatever the number of documents.
+    A bucket has about BUCKET signatures, whatever the number of documents. A signature that HOT documents have, by the
+    sample, goes to as many buckets as it fills, below 0; nothing is left out there, as others have it for certain.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
+    def own(sig: np.ndarray) -> np.ndarray:
+        return ((sig & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+
     def pack(ids: list[int], found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         sig, who = np.concatenate(found), np.repeat(np.array(ids, np.int64), [len(x) for x in found])
-        bucket = ((sig & np.uint64(0xFFFFFF)) % np.uint64(buckets)).astype(np.int64)
+        bucket = own(sig)
+        hot, often = sent.value[0], sent.value[1] * SAMPLED // HOT
+        if (often > 0).any():
+            at = np.minimum(np.searchsorted(hot, sig), len(hot) - 1)
+            spread = np.where(hot[at] == sig, often[at], 0).astype(np.uint64)
+            salt = mixed(who.view(np.uint64) + STEP) % np.maximum(spread, np.uint64(1))
+            bucket = np.where(spread > 0, -1 - own(mixed(sig + salt * STEP)), bucket)
         order = np.argsort(bucket, kind="stable")
         sig, who, bucket = sig[order], who[order], bucket[order]
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -302,16 +334,16 @@ def meeting(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int
         new = np.concatenate([[True], (sig[1:] != sig[:-1]) | (who[1:] != who[:-1])])
         sig, who = sig[new], who[new]
         same = sig[1:] == sig[:-1]
-        kept = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        name = (sig[kept].view(np.int64) * buckets) + bucket
+        kept = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | (bucket < 0)
+        name = sig[kept].view(np.int64) * buckets + own(sig[kept])
         return pa.table({"sig": name, "doc_id": who[kept]})
 
     packed = docs.mapInArrow(sign, "bucket long, packed binary")
     return packed.groupBy("bucket").applyInArrow(meet, "sig long, doc_id long")
 
 
-def checked(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs(u, v) that link. Sketches drop most that don't; the rest are compared shingle by shingle."""
+def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs(u, v) of classes that may link by their sketches."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -319,32 +351,10 @@ def checked(pairs: DataFrame, texts: DataFrame, sets: DataFrame) -> DataFrame:
             keep = pa.array(near_sketches(m, n, x, y))
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns[:2]], names=["u", "v"])
 
-    left = sets.select(F.col("rep").alias("u"), F.col("n").alias("m"), F.col("sketch").alias("x"))
-    right = sets.select(F.col("rep").alias("v"), "n", F.col("sketch").alias("y"))
+    left = classes.select(F.col("cls").alias("u"), F.col("n").alias("m"), F.col("sketch").alias("x"))
+    right = classes.select(F.col("cls").alias("v"), "n", F.col("sketch").alias("y"))
     near = pairs.join(left, "u").join(right, "v").where(f"100 * least(m, n) >= {PERCENT} * greatest(m, n)").select("u", "v", "m", "n", "x", "y")
-    near = staged(near.mapInArrow(sketched, "u long, v long"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[str, np.ndarray] = {}
-
-        def get(text: str) -> np.ndarray:
-            if text not in recent:
-                if len(recent) >= 64:
-                    recent.clear()
-                recent[text] = shingles(text)
-            return recent[text]
-
-        for b in batches:
-            keep = []
-            for i in range(0, len(b), 100):
-                part = b.slice(i, 100)
-                keep += [linked(get(x), get(y)) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in b.columns[:2]], names=["u", "v"])
-
-    involved = small(staged(near.select(F.explode(F.array("u", "v")).alias("_id")).distinct()))
-    chosen = staged(texts.join(involved, F.col("doc_id") == F.col("_id"), "left_semi"))
-    both = near.join(chosen.select(F.col("doc_id").alias("u"), F.col("text").alias("s")), "u").join(chosen.select(F.col("doc_id").alias("v"), F.col("text").alias("t")), "v")
-    return staged(both.select("u", "v", "s", "t").mapInArrow(compare, "u long, v long").distinct())
+    return near.mapInArrow(sketched, "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -372,53 +382,107 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label"))
 
 
+class Sketches:
+    """Sketches of several lengths, as rows of each length, so that pairs of rows can be compared at the shorter one's."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        self.n, self.width, self.bits, self.place = n, np.array([len(x) for x in raw]), {}, {}
+        for w in np.unique(self.width).tolist():
+            own, twice = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            self.bits[w] = np.concatenate([folded([raw[k] for k in part], w) for part in (own, twice) if len(part)])
+            self.place[w] = np.zeros(len(raw), np.int64)
+            self.place[w][own], self.place[w][twice] = np.arange(len(own)), np.arange(len(twice)) + len(own)
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the sets a[i] and b[i] may link. Sizes that may link have lengths that are equal or one twice the other."""
+        keep = may_link(self.n[a], self.n[b], np.zeros(1, np.int64))
+        at = np.minimum(self.width[a], self.width[b])
+        for w in np.unique(at[keep]).tolist():
+            of = np.flatnonzero(keep & (at == w))
+            each = max(1, COMPARED // w)
+            for k in range(0, len(of), each):
+                x, y = a[of[k : k + each]], b[of[k : k + each]]
+                keep[of[k : k + each]] = may_link(self.n[x], self.n[y], apart_at_least(self.bits[w][self.place[w][x]], self.bits[w][self.place[w][y]]))
+        return keep
+
+
+def joined(parent: np.ndarray, a: int, b: int) -> None:
+    """Joins a's and b's trees; a parent is never larger than its child."""
+    while parent[a] != a:
+        parent[a] = a = parent[parent[a]]
+    while parent[b] != b:
+        parent[b] = b = parent[parent[b]]
+    parent[max(a, b)] = min(a, b)
+
+
+def roots(parent: np.ndarray, of: np.ndarray) -> np.ndarray:
+    while (of != (above := parent[of])).any():
+        of = above
+    return of
+
+
+def merged(root: np.ndarray, i: int, others: np.ndarray) -> None:
+    """root[x] is the smallest member of x's component; i is joined with the others."""
+    found = np.unique(np.append(root[others], root[i]))
+    if len(found) > 1:
+        root[np.isin(root, found)] = found[0]
+
+
 def across(members: DataFrame, n_buckets: int) -> DataFrame:
-    """Pairs (u, v) of members(sig, rep, label, n, sketch) that share a signature, have different labels, and may link by
-    their sketches. Pairs are compared where they lie and only what may link is returned, once for each bucket."""
+    """Pairs (u, v) of labels of members(sig, cls, label, n, sketch) that join all labels of which two members share a
+    signature and may link by their sketches: the smallest label that a label reaches in its bucket, so no more rows than labels.
+
+    Buckets hold small groups. A group of more than GROUP members, or SKETCHES bytes, is dealt into blocks, and each pair
+    of its blocks is a task's."""
 
     def compare(table: pa.Table) -> pa.Table:
-        order = np.lexsort((table.column("rep").to_numpy(), table.column("sig").to_numpy()))
-        sig, rep, label, n = (table.column(c).to_numpy()[order] for c in ("sig", "rep", "label", "n"))
-        _, first, who = np.unique(rep, return_index=True, return_inverse=True)
-        raw = table.column("sketch").take(pa.array(order[first])).to_pylist()
-        width = np.array([len(x) for x in raw])
-        bits, place = {}, {}  # sketches by width: those of it, and those of twice it, folded
-        for w in np.unique(width).tolist():
-            own, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
-            rows = [folded([raw[k] for k in part], w) for part in (own, twice) if len(part)]
-            bits[w], place[w] = np.concatenate(rows), np.zeros(len(raw), np.int64)
-            place[w][own], place[w][twice] = np.arange(len(own)), np.arange(len(twice)) + len(own)
-        found, live, step = [np.zeros((2, 0), np.int64)], np.arange(len(sig)), 1
-        while len(live):
+        order = np.lexsort((table.column("label").to_numpy(), table.column("sig").to_numpy()))
+        sig, cls, label, n = (table.column(c).to_numpy()[order] for c in ("sig", "cls", "label", "n"))
+        _, first, who = np.unique(cls, return_index=True, return_inverse=True)
+        sets = Sketches(table.column("sketch").take(pa.array(order[first])).to_pylist(), n[first])
+        names, of = np.unique(label, return_inverse=True)
+        parent = np.arange(len(names))
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        ends = np.append(starts[1:], len(sig))
+        live = np.flatnonzero(np.repeat(ends - starts <= FEW, ends - starts))
+        for step in range(1, FEW):
             live = live[live + step < len(sig)]
             live = live[sig[live + step] == sig[live]]  # pairs `step` apart in each signature's members
-            i = live[label[live] != label[live + step]]
-            i = i[may_link(n[i], n[i + step], np.zeros(len(i), np.int64))]
-            a, b = who[i], who[i + step]
-            at = np.minimum(width[a], width[b])
-            for w in np.unique(at).tolist():
-                of = np.flatnonzero(at == w)
-                each = max(1, COMPARED // w)
-                for k in range(0, len(of), each):
-                    part = of[k : k + each]
-                    apart = apart_at_least(bits[w][place[w][a[part]]], bits[w][place[w][b[part]]])
-                    part = part[may_link(n[i[part]], n[i[part] + step], apart)]
-                    found.append(np.stack([rep[i[part]], rep[i[part] + step]]))
-            if step % 64 == 0:
-                found = [np.unique(np.concatenate(found, axis=1), axis=1)]
-            step += 1
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-        return pa.table({"u": pairs.min(axis=0), "v": pairs.max(axis=0)})
-
-    dealt = members.withColumn("bucket", F.pmod(F.xxhash64("sig"), F.lit(n_buckets)))
-    return dealt.groupBy("bucket").applyInArrow(compare, "u long, v long").distinct()
-
-
-def degrees(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(h1, h2, n_links) of classes(h1, h2, rep, n, label): how many classes each links with, exactly. Links lie within components.
-
-    A component is dealt into blocks, and each pair of its blocks is a task's: what its classes have in common is counted
-    element by element, and only a number for each class is returned. Small components share a task."""
+            i = live[of[live] != of[live + step]]
+            for a, b in np.unique(np.stack([of[i], of[i + step]])[:, sets.near(who[i], who[i + step])], axis=1).T.tolist():
+                joined(parent, a, b)
+        for a, z in zip(starts[ends - starts > FEW].tolist(), ends[ends - starts > FEW].tolist(), strict=True):
+            here, local = np.unique(roots(parent, of[a:z]), return_inverse=True)
+            root, members_ = np.arange(len(here)), who[a:z]
+            for i in range(len(local) - 1):
+                if not root.any():
+                    break
+                other = np.flatnonzero(root[local[i + 1 :]] != root[local[i]]) + i + 1
+                hit = other[sets.near(np.broadcast_to(members_[i], len(other)), members_[other])]
+                if len(hit):
+                    merged(root, local[i], local[hit])
+            for k in np.flatnonzero(root != np.arange(len(here))).tolist():
+                joined(parent, here[k], here[root[k]])
+        root = roots(parent, np.arange(len(names)))
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        return pa.table({"u": names[root[moved]], "v": names[moved]})
+
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP), F.ceil(F.sum(F.octet_length("sketch")) / SKETCHES))
+    large = small(staged(members.groupBy("sig").agg(blocks.alias("g")).where("g > 1").withColumnRenamed("sig", "_sig")))
+    own = members.join(large, F.col("sig") == F.col("_sig"), "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    own = own.withColumn("part", F.pmod(F.xxhash64("cls"), "g"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).where("g = 1 OR part <> other")
+    dealt = dealt.withColumn("bucket", F.when(F.col("g") > 1, F.col("sig")).otherwise(F.pmod(F.xxhash64("sig"), F.lit(n_buckets))))
+    dealt = dealt.select("sig", "cls", "label", "n", "sketch", (F.col("g") > 1).alias("alone"), "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    return dealt.groupBy("alone", "bucket", "lo", "hi").applyInArrow(compare, "u long, v long").distinct()
+
+
+def linked_within(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cls, n_links, low) of classes(cls, h1, h2, rep, n, label), a row for each class and block that it meets: how many classes of its label it
+    links with there, exactly, and the smallest class that these links reach.
+
+    A label's classes are dealt into blocks, and each pair of its blocks is a task's: what its classes have in common is
+    counted element by element. Small labels share a task."""
     spark = classes.sparkSession
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / ELEMENTS))
     large = small(staged(classes.groupBy("label").agg(blocks.alias("g")).where("g > 1").withColumnRenamed("label", "_label")))
@@ -437,21 +501,21 @@ def degrees(classes: DataFrame, texts: DataFrame) -> DataFrame:
     chosen = chosen.mapInArrow(sets, "_1 long, _2 long, hashes binary").groupBy("_1", "_2").agg(F.first("hashes").alias("hashes"))
     own = classes.join(large, F.col("label") == F.col("_label"), "left").join(chosen, (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")))
     g = F.coalesce("g", F.lit(1))
-    own = own.select("h1", "h2", "label", "hashes", F.pmod("h2", g).alias("part"), g.alias("g"))
+    own = own.select("cls", "label", "hashes", F.pmod("h2", g).alias("part"), g.alias("g"))
     dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
     dealt = dealt.withColumn("bucket", F.when(F.col("g") > 1, F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(n_buckets))))
-    dealt = dealt.select("h1", "h2", "label", "hashes", "part", (F.col("g") > 1).alias("alone"), "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    dealt = dealt.select("cls", "label", "hashes", "part", (F.col("g") > 1).alias("alone"), "bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
 
     def count(table: pa.Table) -> pa.Table:
-        table = table.take(pa.array(np.argsort(table.column("label").to_numpy(), kind="stable")))
-        label, part, raw = table.column("label").to_numpy(), table.column("part").to_numpy(), table.column("hashes").to_pylist()
+        table = table.take(pa.array(np.lexsort((table.column("cls").to_numpy(), table.column("label").to_numpy()))))
+        cls, label, part, raw = table.column("cls").to_numpy(), table.column("label").to_numpy(), table.column("part").to_numpy(), table.column("hashes").to_pylist()
         split = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
         n = np.array([len(x) // 8 for x in raw])
         who, ends = np.repeat(np.arange(len(n)), n), np.cumsum(n)
         _, element, having = np.unique(np.frombuffer(b"".join(raw), np.uint64) ^ mixed(label.astype(np.uint64) + STEP)[who], return_inverse=True, return_counts=True)
         holders, starts = who[np.argsort(element, kind="stable")], np.cumsum(having) - having
         first, last = np.searchsorted(label, label), np.searchsorted(label, label, "right")
-        links = np.zeros(len(n), np.int64)
+        links, root = np.zeros(len(n), np.int64), np.arange(len(n))
         for i, (a, z) in enumerate(zip(first.tolist(), last.tolist(), strict=True)):
             e = element[ends[i] - n[i] : ends[i]]
             e = e[having[e] > 1]
@@ -461,57 +525,66 @@ def degrees(classes: DataFrame, texts: DataFrame) -> DataFrame:
             near = 100 * common >= PERCENT * (n[i] + n[a:z] - common)
             near[i - a] = False
             links[i] = (near & (part[a:z] != part[i])).sum() if split else near.sum()
-        return table.select(["h1", "h2"]).append_column("n_links", pa.array(links))
+            found = np.flatnonzero(near)
+            if len(found):
+                local = root[a:z] - a
+                merged(local, i - a, found)
+                root[a:z] = local + a
+        return pa.table({"cls": cls, "n_links": links, "low": cls[root]})
+
+    return dealt.groupBy("alone", "bucket", "lo", "hi").applyInArrow(count, "cls long, n_links long, low long")
 
-    counted = dealt.groupBy("alone", "bucket", "lo", "hi").applyInArrow(count, "h1 long, h2 long, n_links long")
-    return counted.groupBy("h1", "h2").agg(F.sum("n_links").alias("n_links"))
+
+def labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes that links(u, v) touch, with `label`: the smallest class that each reaches."""
+    label = staged(components(links).withColumnRenamed("id", "_id"))
+    label = label.union(label.select(F.col("label").alias("_id"), "label").distinct())  # components() leaves out the smallest
+    return staged(classes.join(label, F.col("cls") == F.col("_id")).drop("_id"))
 
 
+@tidied
 def join(docs: DataFrame) -> DataFrame:
     """A row for each row of docs(doc_id, text): doc_id, n_shingles, n_links, component_id.
 
     A document's set is its distinct runs of 5 words (of fewer words, all as one). Documents link when 100 * common >= 75
     * union; component_id is the smallest doc_id that links reach. n_links is the number of other classes of equal sets
-    that the row's own class links with: all pairs within a component are counted (see `degrees`).
+    that the row's own class links with: all pairs within a component are counted (see `linked_within`).
 
-    Equal sets are one class, named by its smallest doc_id. Two classes that link share a PartEnum signature (see
-    `signatures`). Of each signature's classes, the smallest is compared with the others; then classes that share a
-    signature and are not yet in one component are compared, too, so every pair that links ends in one component.
-    Comparisons are exact; a lower bound from small sketches spares most of them.
+    Equal sets are one class. Two classes that link share a PartEnum signature (see `signatures`). Of each signature's
+    classes, the smallest is compared with the others; then classes that share a signature and are not yet in one
+    component are compared, too. These comparisons are of small sketches, which say "far apart" only of pairs that don't
+    link, so classes that link end up under one label. Under each label all links are then counted exactly.
 
-    Null and empty texts: no shingles, no links. Null doc_id: no links, component_id null. A repeated doc_id is one
-    document to the links of all its rows. Very long texts are read whole. An empty table: no rows. Other columns play
-    no part.
+    Null and empty texts: no shingles, no links. Null doc_id: no links, component_id null. A repeated doc_id: each of its rows
+    has its own text's links. Very long texts are read whole. An empty table: no rows. Other columns play no part.
     """
     spark = docs.sparkSession
-    ready(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = texts.where("doc_id IS NOT NULL AND text IS NOT NULL")
     sets = staged(sets_of(texts))
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = staged(classes)
-    member = sets.select("doc_id", F.col("n").alias("n_shingles"), F.col("h1").alias("_1"), F.col("h2").alias("_2"))
-    member = staged(member.join(classes.select("h1", "h2", "rep"), (F.col("_1") == F.col("h1")) & (F.col("_2") == F.col("h2")), "left").select("doc_id", "n_shingles", "rep", "_1", "_2"))
-    by_rep = staged(classes.groupBy("rep").agg(F.max(F.struct("n", "sketch")).alias("s")).select("rep", "s.n", "s.sketch"))
+    classes = staged(classes.withColumn("cls", F.monotonically_increasing_id()))
+    of_class = classes.select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), "cls", "rep")
+    member = sets.join(of_class, (F.col("doc_id").isNotNull()) & (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")), "left")
+    member = staged(member.select("doc_id", F.col("n").alias("n_shingles"), "cls", "rep"))
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = meeting(known, common_signatures(known), slices(spark, total, BUCKET))
-    of = member.where("doc_id IS NOT NULL AND rep IS NOT NULL").select(F.col("doc_id").alias("_id"), "rep")
-    met = staged(staged(found).join(of, F.col("doc_id") == F.col("_id")).select("sig", "rep").distinct())
-    first = met.groupBy("sig").agg(F.min("rep").alias("u")).withColumnRenamed("sig", "_sig")
-    stars = met.join(first, F.col("sig") == F.col("_sig")).where("u <> rep").select("u", F.col("rep").alias("v")).distinct()
-    links = checked(staged(stars), known, by_rep)
-    label = staged(components(links))
-    members = met.join(label, F.col("rep") == F.col("id"), "left").select("sig", "rep", F.coalesce("label", "rep").alias("label"))
-    members = staged(members)
+    of = member.where("cls IS NOT NULL").select(F.col("doc_id").alias("_id"), "cls")
+    met = staged(staged(found).join(of, F.col("doc_id") == F.col("_id")).select("sig", "cls").distinct())
+    first = met.groupBy("sig").agg(F.min("cls").alias("u")).withColumnRenamed("sig", "_sig")
+    stars = met.join(first, F.col("sig") == F.col("_sig")).where("u <> cls").select("u", F.col("cls").alias("v")).distinct()
+    near = staged(near_pairs(staged(stars), classes))
+    label = staged(components(near))
+    members = staged(met.join(label, F.col("cls") == F.col("id"), "left").select("sig", "cls", F.coalesce("label", "cls").alias("label")))
     open_ = members.groupBy("sig").agg(F.min("label").alias("a"), F.max("label").alias("z"), F.count(F.lit(1)).alias("k")).where("a <> z AND k > 2").select(F.col("sig").alias("_sig"))
     rest = members.join(open_, F.col("sig") == F.col("_sig"), "left_semi")
-    rest = staged(rest.join(by_rep.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).select("sig", "rep", "label", "n", "sketch"))
+    rest = staged(rest.join(classes.select(F.col("cls").alias("_cls"), "n", "sketch"), F.col("cls") == F.col("_cls")).drop("_cls"))
     more = staged(across(rest, slices(spark, rest.count(), MEMBERS)))
-    links = staged(links.union(checked(more, known, by_rep)).distinct())
-    label = staged(components(links).withColumnRenamed("id", "_id"))
-    label = label.union(label.select(F.col("label").alias("_id"), "label").distinct())  # components() leaves out the smallest ids
-    linked_classes = staged(classes.join(label, F.col("rep") == F.col("_id")).select("h1", "h2", "rep", "n", "label"))
-    degree = degrees(linked_classes, known).select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "n_links")
-    of_class = linked_classes.join(degree, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left").select("h1", "h2", "label", "n_links")
-    rows = member.join(staged(of_class), (F.col("_1") == F.col("h1")) & (F.col("_2") == F.col("h2")), "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("label", "rep", "doc_id").alias("component_id"))
+    together = labelled(classes.drop("sketch"), label.select(F.col("id").alias("u"), F.col("label").alias("v")).union(more))
+    exact = staged(linked_within(together, known))
+    links = labelled(classes.select("cls", "rep"), exact.where("low <> cls").select(F.col("low").alias("u"), F.col("cls").alias("v")).distinct())
+    smallest = links.groupBy(F.col("label").alias("_label")).agg(F.min("rep").alias("component_id"))
+    counted = exact.groupBy(F.col("cls").alias("_c")).agg(F.sum("n_links").alias("n_links"))
+    links = links.join(smallest, F.col("label") == F.col("_label")).join(counted, F.col("cls") == F.col("_c")).select(F.col("cls").alias("_cls"), "n_links", "component_id")
+    rows = member.join(links, F.col("cls") == F.col("_cls"), "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "rep", "doc_id").alias("component_id"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import os
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rows that `small` lets Spark broadcast.
-SMALL_ROWS = 200_000
+#: Most rows, and bytes of their texts, that `small` lets Spark broadcast.
+SMALL_ROWS, SMALL_BYTES = 200_000, 32 << 20
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -37,25 +38,57 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint folder, which driver and executors share."""
+    """A new folder under the session's checkpoint folder, which driver and executors share; under its warehouse, if none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoint")
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+#: What `tidied` functions that run now have staged.
+_staged: list[list[str]] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df, written to a table in the shared folder and read again: its lineage ends here."""
     spark = df.sparkSession
     ready(spark)
     path = shared_dir(spark)
     df.write.parquet(path)
+    if _staged:
+        _staged[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, whose result is staged; all other tables that it staged are deleted."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        _staged.append([])
+        try:
+            rows = f(*args, **kwargs)
+            paths, _staged[-1] = _staged[-1], []
+            kept = staged(rows)
+        finally:
+            made = _staged.pop()
+        if _staged:
+            _staged[-1].extend(made)
+        jvm, conf = kept.sparkSession._jvm, kept.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+        return kept
+
+    return run
+
+
 def small(df: DataFrame) -> DataFrame:
-    """df marked for broadcasting if it has SMALL_ROWS rows at most, else df itself (a shuffled join)."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+    """df marked for broadcasting if it has SMALL_ROWS rows and SMALL_BYTES of texts at most, else df itself (a shuffled join)."""
+    texts = [F.octet_length(f"`{c}`") for c, kind in df.dtypes if kind in ("string", "binary")]
+    size = sum((F.coalesce(x, F.lit(0)) for x in texts), F.lit(0)).cast("long")
+    rows, size = df.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if rows <= SMALL_ROWS and size <= SMALL_BYTES else df
 
 
 def slices(spark: SparkSession, amount: float, each: float) -> int:
