@@ -29,7 +29,7 @@ SAMPLED, COMMON, COMMONEST = 32, 3, 200_000
 HOT = 75_000
 #: Members of open groups in one bucket; members, and bytes of their sketches, of one group that a block holds; the
 #: largest groups that are compared side by side.
-MEMBERS, GROUP, SKETCHES, FEW = 60_000, 6_000, 1 << 23, 16
+MEMBERS, GROUP, SKETCHES, FEW = 60_000, 6_000, 1 << 23, 128
 #: Classes, and elements of their sets, of one component that a block holds.
 BLOCK, ELEMENTS = 2_000, 1_000_000
 #: Bytes of text that are read at once, but for a longer text; and bytes of sketches that are compared at once.
@@ -453,16 +453,20 @@ def across(members: DataFrame, n_buckets: int) -> DataFrame:
                 joined(parent, a, b)
         for a, z in zip(starts[ends - starts > FEW].tolist(), ends[ends - starts > FEW].tolist(), strict=True):
             here, local = np.unique(roots(parent, of[a:z]), return_inverse=True)
-            root, members_ = np.arange(len(here)), who[a:z]
-            for i in range(len(local) - 1):
+            tree, members_ = np.arange(len(here)), who[a:z]
+            k, step = 0, 1
+            while k < len(local) - 1:
+                root = roots(tree, local)
                 if not root.any():
                     break
-                other = np.flatnonzero(root[local[i + 1 :]] != root[local[i]]) + i + 1
-                hit = other[sets.near(np.broadcast_to(members_[i], len(other)), members_[other])]
-                if len(hit):
-                    merged(root, local[i], local[hit])
-            for k in np.flatnonzero(root != np.arange(len(here))).tolist():
-                joined(parent, here[k], here[root[k]])
+                i, j = np.nonzero((root[k : k + step, None] != root[None, k:]) & (np.arange(len(local) - k) > np.arange(len(root[k : k + step]))[:, None]))
+                near = sets.near(members_[k + i], members_[k + j])
+                for x, y in np.unique(np.stack([root[k + i[near]], root[k + j[near]]]), axis=1).T.tolist():
+                    joined(tree, x, y)
+                k, step = k + step, min(64, 2 * step)
+            for k, x in enumerate(roots(tree, np.arange(len(here))).tolist()):
+                if x != k:
+                    joined(parent, here[k], here[x])
         root = roots(parent, np.arange(len(names)))
         moved = np.flatnonzero(root != np.arange(len(names)))
         return pa.table({"u": names[root[moved]], "v": names[moved]})
