@@ -20,20 +20,21 @@ def spark():
 
 @pytest.fixture(scope="session")
 def seed(spark):
-    """Small tables whose answers can be checked by eye."""
-    day = lambda d: datetime.datetime(2024, 1, d)
-    kind = T.StructType([T.StructField("id", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("amt", T.IntegerType()), T.StructField("tenant", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("ts", T.TimestampNTZType())])
-    rows = [(1, "alpha", 50, 1, 1.5, day(1)), (2, "beta", 150, 1, 2.5, day(2)), (3, "gamma", 250, 2, 3.5, day(3)), (4, None, 350, 2, None, None), (5, "epsilon", 450, 3, 5.5, day(5))]
+    """Small tables whose answers can be checked by eye: a null name and a null date, a tenant without a customer and a customer
+    without an order, pivot cells without rows."""
+    day = lambda d: datetime.datetime(2023, 6, d)
+    kind = "id int, name string, amt int, tenant int, score double, ts timestamp_ntz"
+    rows = [(11, "kelp", 70, 5, 0.5, day(4)), (12, None, 20, 5, 2.25, day(9)), (13, "dulse", 320, 6, None, None), (14, "nori", 115, 8, 4.0, day(2)), (15, "wakame", 260, 6, 3.75, day(20)), (16, "sargassum", 20, 8, -1.5, day(9))]
     return {
         "orders": spark.createDataFrame(rows, kind),
-        "archive": spark.createDataFrame([(9, "old", 5, 1, 0.5, day(1))], kind),
-        "customers": spark.createDataFrame([(1, "acme"), (2, "globex"), (4, "initech")], "tenant int, cname string"),
-        "sales": spark.createDataFrame([("east", "q1", 10), ("east", "q2", 20), ("west", "q1", 5), ("west", "q3", 7)], "region string, quarter string, amount int"),
+        "archive": spark.createDataFrame([(90, "carrageen", 15, 5, 9.0, day(1)), (11, "kelp", 70, 5, 0.5, day(4))], kind),
+        "customers": spark.createDataFrame([(5, "harbour"), (6, "lagoon"), (7, "estuary")], "tenant int, cname string"),
+        "sales": spark.createDataFrame([("north", "spring", 4), ("north", "summer", 9), ("north", "summer", 2), ("south", "spring", 3), ("south", "autumn", 8), ("south", None, 1)], "region string, quarter string, amount int"),
     }
 
 
 @pytest.fixture
 def near(spark):
-    spark.createDataFrame([(1, 10), (2, 20), (3, 30), (99, 40)], "id int, x int").createOrReplaceTempView("loc")
-    spark.createDataFrame([(10, 100), (20, 200)], "x int, y int").createOrReplaceTempView("lookup")
-    spark.createDataFrame([(1, "a"), (1, "b"), (None, "c")], "id int, tag string").createOrReplaceTempView("twice")
+    spark.createDataFrame([(11, 1), (13, 2), (14, 3), (77, 4)], "id int, x int").createOrReplaceTempView("loc")
+    spark.createDataFrame([(1, 60), (2, 70)], "x int, y int").createOrReplaceTempView("lookup")
+    spark.createDataFrame([(11, "p"), (11, "q"), (None, "r")], "id int, tag string").createOrReplaceTempView("twice")

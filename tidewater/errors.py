@@ -11,3 +11,7 @@ class NotAllowed(Refused):
 
 class StaleSchema(Refused):
     """A source's table no longer has the columns that it was described with."""
+
+
+class Conflict(Refused):
+    """Another writer changed the table since it was read."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.staging import staged
+
 
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: dict[str, str], take: list[str], how: str = "inner", strict: bool = False) -> DataFrame:
     """left with `take` of the last right row with equal keys whose right_on <= left_on (< if strict).
@@ -41,12 +43,15 @@ def positional_join(left: DataFrame, right: DataFrame, left_order: list[Column],
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with `name`, 0, 1, ... in an order that has to be total."""
+    """df with `name`, 0, 1, ... in an order that has to be total.
+
+    Rows are range-sorted and written, so that a row's partition and place are fixed; the rows of each partition are then
+    counted in that table. Counting on a second plan of the same exchange could sample other ranges."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    laid = staged(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     counts = laid.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each partition of the exchange above
+    # one row for each partition of the exchange above: this window and the broadcast are as small as the session's partitions are few
     starts = counts.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     return laid.join(F.broadcast(starts), F.shiftright("_at", 33) == F.col("_p")).withColumn(name, F.col("_start") + place).drop("_at", "_p", "_start")

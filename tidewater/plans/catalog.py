@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidewater.errors import NotAllowed, Refused, StaleSchema
 from tidewater.sources.base import Source, TableDesc, Verb
@@ -55,19 +56,25 @@ class Attachment:
             raise NotAllowed(f"{self.alias}.{schema}.{table} doesn't allow {verb.value}")
         return desc
 
-    def rows(self, spark: SparkSession, schema: str, table: str, verb: Verb = Verb.SELECT, reads_rows: bool = True) -> DataFrame:
-        """The table's rows that may be seen, after a check that it still has the columns that it was described with."""
+    def rows(self, spark: SparkSession, schema: str, table: str, verb: Verb = Verb.SELECT, reads_rows: bool = True, row_id: bool = False) -> DataFrame:
+        """The table's rows that may be seen, after a check that it still has the columns that it was described with; with
+        `rowid`, the name of a row's file and its place there, if asked for."""
         desc = self.describe(schema, table)
         df = self.source.frame(spark, schema, table)
         was, now = ([(f.name, f.dataType) for f in s.fields] for s in (desc.schema, df.schema))
         if was != now:
             raise StaleSchema(f"{self.alias}.{schema}.{table} was described as {was} and now is {now}; refresh {self.alias}")
+        if row_id:
+            if not desc.row_ids:
+                raise Refused(f"{self.alias}.{schema}.{table} has no rowid")
+            df = df.select("*", F.concat_ws("#", F.substring_index("_metadata.file_path", "/", -2), "_metadata.row_index").alias("rowid"))
+            was = [*was, ("rowid", df.schema["rowid"].dataType)]
         policy = self.source.policy(schema, table, verb, reads_rows)
         if policy is None:
             return df
         seen = policy(df)
         if [(f.name, f.dataType) for f in seen.schema.fields] != was:
-            raise Refused(f"the row policy of {self.alias}.{schema}.{table} doesn't give the table's columns")
+            raise Refused(f"the row policy of {self.alias}.{schema}.{table} doesn't give the table's columns" + " and its rowid" * row_id)
         return barrier(seen)
 
     def view(self, schema: str, table: str) -> str:

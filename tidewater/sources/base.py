@@ -99,6 +99,17 @@ class Source:
     def planned(self, slice_: object) -> None:
         """Told of each slice."""
 
+    def named(self, alias: str) -> None:
+        """Told of each attachment that a statement for this source names; raises to refuse the statement."""
+
+    def writing(self, verb: Verb, table: str, rows: DataFrame | None) -> DataFrame | None:
+        """Told of each write before it is done, with the rows to be there anew; gives those that are to be written, or raises
+        to refuse the write."""
+        return rows
+
+    def defining(self, verb: Verb, name: str) -> None:
+        """Told of each CREATE, ALTER and DROP before it is done; raises to refuse it."""
+
     def detach(self) -> None:
         pass
 
@@ -106,9 +117,10 @@ class Source:
 class Capable(Source):
     """A source that accepts everything but what it lists."""
 
-    def __init__(self, refused_calls: set[str] = frozenset(), refused_types: set[str] = frozenset(), refused_operators: set[str] = frozenset(), seam: bool = True, group: object = None, hidden: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
+    def __init__(self, refused_calls: set[str] = frozenset(), refused_types: set[str] = frozenset(), refused_operators: set[str] = frozenset(), seam: bool = True, group: object = None, hidden: dict[str, Callable[[DataFrame], DataFrame]] | None = None, catalogs: Callable[[str], None] | None = None, writes: Callable | None = None, ddl: Callable | None = None):
         self.refused_calls, self.refused_types, self.refused_operators, self.seam = refused_calls, refused_types, refused_operators, seam
         self.own_group, self.hidden, self.slices = group, hidden or {}, []
+        self.catalogs, self.writes, self.ddl = catalogs, writes, ddl
 
     def accepts_call(self, name: str) -> Verdict:
         return Verdict(False, f"the source refuses {name}") if name in self.refused_calls else YES
@@ -131,3 +143,14 @@ class Capable(Source):
 
     def planned(self, slice_: object) -> None:
         self.slices.append(slice_)
+
+    def named(self, alias: str) -> None:
+        if self.catalogs:
+            self.catalogs(alias)
+
+    def writing(self, verb: Verb, table: str, rows: DataFrame | None) -> DataFrame | None:
+        return self.writes(verb, table, rows) if self.writes else rows
+
+    def defining(self, verb: Verb, name: str) -> None:
+        if self.ddl:
+            self.ddl(verb, name)
