@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.session import shared_dir, slices, staged
 
-#: A worker forgets its pieces beyond this many.
-CACHED = 1_000_000
+#: A worker forgets the pieces that it has not met for this many new ones.
+CACHED = 800_000
 
 _encoders: dict[str, "Encoder"] = {}
 
@@ -25,8 +26,9 @@ class Encoder:
     """Encodes texts with a byte-level BPE of the tokenizers library.
 
     Such a tokenizer splits a text before each single space that a word follows, so the ids of a text are those of its
-    pieces, and each distinct piece is encoded once by the library and then remembered as packed ids. A text that has a
-    space beside white space, or white space other than spaces and line feeds, is encoded whole.
+    words, each but the first with the space before it. Each distinct word is encoded by the library when it is new, many
+    at once as one text that is cut where their bytes end, and then remembered as packed ids. A text that has a space beside
+    white space, white space other than spaces and line feeds, or an added token's string is encoded whole.
     """
 
     meets = ("  ", " \n", "\n ")
@@ -37,10 +39,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.sizes = np.zeros(1 + max([*vocabulary.values(), *self.library.get_added_tokens_decoder()]), np.int64)  # bytes of each token: a character stands for one
+        self.sizes[[*vocabulary.values()]] = [len(x) for x in vocabulary]
         self.kind = np.dtype("<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.code = "H" if self.kind.itemsize == 2 else "I"  # of the machine's own order: little-endian, as Arrow's files are
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.odd = re.compile(f"[{re.escape(''.join(self.others))}]")
 
     @classmethod
     def at(cls, path: str) -> "Encoder":
@@ -52,25 +59,46 @@ class Encoder:
         return array(self.code, ids).tobytes()
 
     def cut(self, text: str | None) -> list[str] | None:
-        """The pieces of a text, None if it has to be encoded whole."""
+        """The words of a text, None if it has to be encoded whole."""
         if not text:
             return []
-        if any(x in text for x in self.meets) or any(x in text for x in self.others):
+        if any(x in text for x in self.meets) or self.odd.search(text) or any(x in text for x in self.added):
             return None
-        return text.replace(" ", "\x00 ").split("\x00")
+        return text.split(" ")
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [self.pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of new words behind a space."""
+        apart = [w for w in words if not w or w[-1].isspace()]
+        self.known.update(zip(apart, self.whole([" " + w for w in apart]), strict=True))
+        joins = [w for w in words if w and not w[-1].isspace()]
+        parts = [joins[i : i + 2000] for i in range(0, len(joins), 2000)]
+        for part, e in zip(parts, self.library.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            ends, sizes = np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in part])
+            at = np.searchsorted(ends, sizes)
+            if (at == len(ends)).any() or (ends[at] != sizes).any():  # not byte by byte: one by one
+                self.known.update(zip(part, self.whole([" " + w for w in part]), strict=True))
+                continue
+            packed, cuts = ids.astype(self.kind).tobytes(), [0, *((at + 1) * self.kind.itemsize).tolist()]
+            self.known.update((w, packed[a:z]) for w, a, z in zip(part, cuts, cuts[1:], strict=False))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed; null counts as empty."""
         cut = [self.cut(t) for t in texts]
         if len(self.known) > CACHED:
-            self.known.clear()
-        known = self.known
-        new = [*set().union(*(c for c in cut if c)).difference(known)]
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            known.update(zip(part, [self.pack(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False)], strict=True))
-        get = known.__getitem__
-        return [self.pack(self.library.encode(t, add_special_tokens=False).ids) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, cut, strict=True)]
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        new = set().union(*(c[1:] for c in cut if c)).difference(known)
+        if older:
+            known.update((x, older[x]) for x in new if x in older)
+            new = new.difference(known)
+        self.learn([*new])
+        alone = [t if words is None else words[0] for t, words in zip(texts, cut, strict=True) if words != []]
+        get, first = known.__getitem__, iter(self.whole(alone))
+        return [b"" if words == [] else next(first) if words is None else next(first) + b"".join(map(get, words[1:])) for words in cut]
 
 
 def schema(kind: np.dtype, length: int) -> pa.Schema:
@@ -82,15 +110,14 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("offset", pa.int64()), ("n_tokens",
 
 
 class Writer:
-    """One file of sequences and its index, in the order of `add`. Readers see neither until `close` has renamed both."""
+    """One file of sequences and its index, in the order of `add`. Each attempt of a task has files of its own, which nothing
+    changes once they are closed; the manifest names those that count."""
 
     def __init__(self, folder: str, name: str, kind: np.dtype, length: int, per_batch: int):
         self.fs, root = pa.fs.FileSystem.from_uri(folder)
         self.fs.create_dir(root, recursive=True)
-        self.final, attempt = f"{root}/{name}", f"{root}/_{name}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
         self.kind, self.length, self.chunk = kind, length, length * per_batch * kind.itemsize
-        self.paths = [(f"{attempt}.{x}", f"{self.final}.{x}.arrow") for x in ("tokens", "docs")]
-        self.outs = [self.fs.open_output_stream(p) for p, _ in self.paths]
+        self.outs = [self.fs.open_output_stream(f"{root}/{name}.{x}.arrow") for x in ("tokens", "docs")]
         self.schema = schema(kind, length)
         self.tokens, self.docs = pa.ipc.new_file(self.outs[0], self.schema), pa.ipc.new_file(self.outs[1], INDEX)
         self.waiting, self.rows, self.at = bytearray(), [], 0
@@ -126,15 +153,12 @@ class Writer:
         self.flush_rows()
         for x in (self.tokens, self.docs, *self.outs):
             x.close()
-        for was, now in self.paths:
-            if self.fs.get_file_info(now).type != pa.fs.FileType.NotFound:
-                self.fs.delete_file(now)  # an earlier attempt at the same rows
-            self.fs.move(was, now)
         return self.at
 
 
 class Reader:
-    """Random access to the sequences of a file. A local file is mapped, so a sequence is a view of the file itself."""
+    """Random access to the sequences of a file. A local file is mapped, so a sequence and the bits of a mask are views of the
+    file itself."""
 
     def __init__(self, base: str):
         self.fs, path = pa.fs.FileSystem.from_uri(base)
@@ -144,16 +168,22 @@ class Reader:
         self.length = int(self.file.schema.metadata[b"sequence_length"])
         self.per_batch = len(self.file.get_batch(0)) if self.file.num_record_batches else 1
 
-    def flat(self, batch: int, column: int = 0) -> np.ndarray:
-        return self.file.get_batch(batch).column(column).flatten().to_numpy(zero_copy_only=column == 0)
+    def flat(self, batch: int) -> np.ndarray:
+        return self.file.get_batch(batch).column(0).flatten().to_numpy(zero_copy_only=True)
 
     def sequence(self, i: int) -> np.ndarray:
         at = i % self.per_batch * self.length
         return self.flat(i // self.per_batch)[at : at + self.length]
 
+    def mask_bits(self, i: int) -> np.ndarray:
+        """The mask's bits as bytes, the lowest bit first. `length` is a multiple of 8."""
+        bits = np.frombuffer(self.file.get_batch(i // self.per_batch).column(1).flatten().buffers()[1], np.uint8)
+        at = i % self.per_batch * self.length // 8
+        return bits[at : at + self.length // 8]
+
     def mask(self, i: int) -> np.ndarray:
-        at = i % self.per_batch * self.length
-        return self.flat(i // self.per_batch, 1)[at : at + self.length]
+        """The mask as booleans, unpacked."""
+        return np.unpackbits(self.mask_bits(i), bitorder="little").astype(bool)
 
     def documents(self) -> Iterator[tuple[int | None, int, Iterator[np.ndarray]]]:
         """(doc_id, offset, n_tokens, pieces of its ids), in file order. Pieces have to be used before the next document."""
@@ -183,9 +213,13 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
     the last one is filled with 0, where its mask is false. `<base>.tokens.arrow` holds batches of `per_batch` sequences,
     `<base>.docs.arrow` each document's offset in the part and its length. first_token counts the ids of earlier parts.
 
-    Null and empty texts: the end id alone. Null doc_id: before all others. Repeated rows or ids: one entry each. Very
-    long texts: cut over as many sequences as they need. An empty table: no files. Other columns play no part.
+    Null and empty texts: the end id alone. Null doc_id: before all others. Repeated rows or ids: one entry each, in order
+    of a hash of the text, so a run that is repeated writes the same order. Very long texts: cut over as many sequences as
+    they need. An empty table: no files. Other columns play no part. A task that failed may leave files that the manifest
+    does not name.
     """
+    if length % 8:
+        raise ValueError("a sequence's length has to be a multiple of 8")
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
@@ -194,19 +228,21 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer, n_docs = Encoder.at(tokenizer), None, 0
         part = TaskContext.get().partitionId()
+        name = f"part-{part:06d}-{TaskContext.get().taskAttemptId()}"
         end = encoder.pack([end_id])
         for b in batches:
             for i in range(0, len(b), 500):
                 ids, texts = (c.slice(i, 500).to_pylist() for c in b.columns)
-                writer = writer or Writer(folder, f"part-{part:06d}", encoder.kind, length, per_batch)
+                writer = writer or Writer(folder, name, encoder.kind, length, per_batch)
                 for doc_id, packed in zip(ids, encoder.encode(texts), strict=True):
                     writer.add(doc_id, packed + end)
                 n_docs += len(ids)
         if writer:
-            row = {"part": [part], "base": [f"{folder}/part-{part:06d}"], "n_tokens": [writer.close()], "n_docs": [n_docs]}
+            row = {"part": [part], "base": [f"{folder}/{name}"], "n_tokens": [writer.close()], "n_docs": [n_docs]}
             yield pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("base", pa.string()), ("n_tokens", pa.int64()), ("n_docs", pa.int64())]))
 
-    laid = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    order = F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()
+    laid = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     parts = staged(laid.mapInArrow(encode, "part int, base string, n_tokens long, n_docs long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return parts.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
