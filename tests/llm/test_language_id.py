@@ -1,10 +1,12 @@
 import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
 
+from tidewater.llm import language_id
 from tidewater.llm.language_id import Lattice, Model, identify, pieces_of, runs
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -38,8 +40,50 @@ def test_expected_counts_cover_each_word():
     assert math.isclose((total * lengths).sum(), 3 * 3 + 1 * 3)
 
 
-def test_runs_are_cut():
-    assert runs("ab  c\n" + "x" * 50) == ["ab", "c", "x" * 24, "x" * 24, "xx"]
+def plain(word, score, unknown):
+    """The logarithm of the sum over all segmentations of a word of any length, by exact fractions."""
+    sums = [Fraction(1)]
+    word = "▁" + word
+    for j in range(1, len(word) + 1):
+        own = [(i, score.get(word[i:j], unknown if i == j - 1 else 0)) for i in range(max(0, j - 8), j)]
+        sums.append(sum(sums[i] * p for i, p in own))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+def test_long_words_are_summed_whole(monkeypatch):
+    """Also where they are shorter than a stretch, and longer than several; with probabilities that floating point can't hold."""
+    assert runs("ab  c\n" + "x" * 50) == ["ab", "c", "x" * 50]
+    rng = random.Random(3)
+    pieces = ["▁", "▁a", "a", "b", "ab", "ba", "aba", "bbabb", "▁ab"]
+    table = np.zeros((len(pieces) + 2, 2))
+    table[1], table[2:] = 1e-7, [[rng.random(), rng.random() / 50] for _ in pieces]
+    words = ["".join(rng.choices("abz" if n % 2 else "ab", k=n)) for n in (1, 25, 26, 60, 200, 200, 600)]
+    lattice = Lattice(pieces)
+    for stretch in (16, 256):
+        monkeypatch.setattr(language_id, "STRETCH", stretch)
+        got = {w: s for part, ends in lattice.long_batches(words) for w, s in zip(part, lattice.scores(part, ends, table))}
+        assert set(got) == set(words[1:])
+        for w, s in got.items():
+            for lang in (0, 1):
+                score = {p: Fraction(x) for p, x in zip(pieces, table[2:, lang])}
+                assert math.isclose(s[lang], plain(w, score, Fraction(1e-7)), rel_tol=1e-9)
+
+
+def test_expected_counts_do_not_depend_on_the_way(monkeypatch):
+    pieces = ["▁", "a", "b", "ab", "▁a", "bab"]
+    table = np.array([0, 1e-7, 0.2, 0.1, 0.2, 0.3, 0.1, 0.1])
+    counts = {"abab": 3, "babzab": 2, "a": 1, "abababb": 5}
+    lattice = Lattice(pieces)
+    short = lattice.expected(counts, table)
+    monkeypatch.setattr(language_id, "LONG", 0)
+    assert np.allclose(short, lattice.expected(counts, table))
+
+
+def test_one_very_long_word():
+    pieces = ["▁", "a", "b", "ab", "▁a", "bab"]
+    lattice, word = Lattice(pieces), "ab" * 50_000
+    (s,) = lattice.scores([word], np.array([len(word) + 1]), np.full((8, 2), 0.1))
+    assert np.isfinite(s).all()
 
 
 def test_accuracy_and_odd_rows(spark, documents):

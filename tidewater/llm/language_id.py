@@ -14,12 +14,14 @@ from pyspark.sql import types as T
 
 from tidewater.llm.session import staged
 
-#: A run of more characters without white space is cut after each so many.
-RUN = 24
+#: Words of more characters are computed in logarithms, by a pass that holds a window of positions; the sums are the same.
+LONG = 24
+#: Characters of long words that are computed side by side, but for a longer word; positions of a stretch.
+SIDE_BY_SIDE, STRETCH = 1 << 16, 256
 #: Probability of a character that the vocabulary lacks, in any language.
 UNKNOWN = 1e-7
-#: A worker forgets its words beyond so many.
-CACHED = 400_000
+#: A worker forgets its words beyond so many, or so many characters of them.
+CACHED, CACHED_CHARS = 400_000, 1 << 24
 UND = "und"
 
 _scorers: dict[str, "Scorer"] = {}
@@ -35,11 +37,8 @@ def pieces_of(path: str) -> list[str]:
 
 
 def runs(text: str) -> list[str]:
-    """The words of a text, each at most RUN characters."""
-    words = text.replace("\0", "\ufffd").split()
-    if len(text) > RUN and any(len(w) > RUN for w in words):
-        words = [w[i : i + RUN] for w in words for i in range(0, len(w), RUN)]
-    return words
+    """The words of a text: whatever lies between white space."""
+    return text.replace("\0", "\ufffd").split()
 
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -116,15 +115,78 @@ class Lattice:
         return sums
 
     def batches(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
-        """(words, edges, positions of their ends), words of like length together."""
-        words = sorted(words, key=lambda w: (len(w), w))
+        """(words, edges, positions of their ends) of words that aren't long, those of like length together."""
+        words = sorted((w for w in words if len(w) <= LONG), key=lambda w: (len(w), w))
         for i in range(0, len(words), 4000):
             part = words[i : i + 4000]
             yield part, self.edges(part), np.array([len(w) + 1 for w in part])
 
+    def long_batches(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """(words, positions of their ends) of long words, those of like length together."""
+        words = sorted((w for w in words if len(w) > LONG), key=lambda w: (len(w), w))
+        part: list[str] = []
+        for w in words:
+            if part and (len(part) + 1) * len(w) > SIDE_BY_SIDE:
+                yield part, np.array([len(x) + 1 for x in part])
+                part = []
+            part.append(w)
+        if part:
+            yield part, np.array([len(x) + 1 for x in part])
+
+    def stretches(self, words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+        """(position before it, what `edges` has) for each stretch of STRETCH positions, of words of any length."""
+        n = max(map(len, words)) + 1
+        for a in range(0, n, STRETCH):
+            z, first = min(n, a + STRETCH), max(0, a - self.longest + 1)
+            texts = [("▁" + w[: z - 1])[first:] if first == 0 else w[first - 1 : z - 1] for w in words]
+            flat = np.frombuffer("".join(t.ljust(z - first, "\0") for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+            codes = np.ascontiguousarray(flat.reshape(len(words), z - first).T)
+            letters = mixed(codes.astype(np.uint64))
+            found = np.zeros((z - a, self.longest, len(words)), np.int32)
+            hashed = np.zeros_like(letters)
+            for back in range(min(self.longest, z - first)):  # pieces of back + 1 characters, by where they start
+                hashed = hashed[: z - first - back] * STEP + letters[back:]
+                ends = hashed[max(0, a - first - back) :]
+                row = self.rows(mixed(ends.ravel())).reshape(ends.shape)
+                if back == 0:
+                    row[(row == 0) & (codes[a - first :] > 0)] = 1
+                found[z - a - len(row) :, back] = row
+            yield a, found
+
+    def logs(self, words: list[str], table: np.ndarray) -> Iterator[np.ndarray]:
+        """For each position from 0 on, [word, language]: the logarithm of what `forward` has there. Beyond a word's end it stays."""
+        window = np.full((self.longest, len(words), table.shape[1]), -np.inf)  # by how far back
+        window[0] = 0
+        yield window[0].copy()
+        for _, found in self.stretches(words):
+            for edges in found:
+                summed = (table[edges] * np.exp(window - window[0])).sum(axis=0)
+                here = window[0] + np.log(np.where(summed > 0, summed, 1))
+                window[1:] = window[:-1].copy()
+                window[0] = here
+                yield here
+
+    def scores(self, words: list[str], ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """[word, language]: the logarithm of a word's summed probability."""
+        out = np.zeros((len(words), table.shape[1]))
+        for j, here in enumerate(self.logs(words, table)):
+            out[ends == j] = here[ends == j]
+        return out
+
     def expected(self, counts: Counter, table: np.ndarray) -> np.ndarray:
         """How often each row is expected in the counted words, under probabilities of one language."""
         total = np.zeros(len(table))
+        for part, ends in self.long_batches(list(counts)):
+            ahead = np.stack([x[:, 0] for x in self.logs(part, table[:, None])])
+            flow = np.zeros_like(ahead)
+            flow[ends, np.arange(len(part))] = [counts[w] for w in part]
+            for a, found in reversed([*self.stretches(part)]):
+                for j in range(a + len(found), a, -1):
+                    back = min(self.longest, j)
+                    rows = found[j - a - 1, :back]
+                    share = flow[j] * table[rows] * np.exp(ahead[j - back : j][::-1] - ahead[j])
+                    flow[j - back : j] += share[::-1]
+                    np.add.at(total, rows, share)
         for part, edges, ends in self.batches(list(counts)):
             n, longest, words = edges.shape
             every = np.arange(words)
@@ -150,21 +212,26 @@ class Scorer:
         self.forget()
 
     def forget(self) -> None:
-        self.places, self.scores, self.used = {}, np.zeros((1 << 12, self.table.shape[1])), 0
+        self.places, self.scores, self.used, self.chars = {}, np.zeros((1 << 12, self.table.shape[1])), 0, 0
 
     def learn(self, words: list[str]) -> None:
         for part, edges, ends in self.lattice.batches(words):
-            sums = self.lattice.forward(edges, self.table)
-            need = self.used + len(part)
-            if need > len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros((max(need, len(self.scores)), self.scores.shape[1]))])
-            self.scores[self.used : need] = np.log(sums[ends, np.arange(len(part))])
-            self.places.update(zip(part, range(self.used, need)))
-            self.used = need
+            self.keep(part, np.log(self.lattice.forward(edges, self.table)[ends, np.arange(len(part))]))
+        for part, ends in self.lattice.long_batches(words):
+            self.keep(part, self.lattice.scores(part, ends, self.table))
+
+    def keep(self, words: list[str], scores: np.ndarray) -> None:
+        need = self.used + len(words)
+        if need > len(self.scores):
+            self.scores = np.concatenate([self.scores, np.zeros((max(need, len(self.scores)), self.scores.shape[1]))])
+        self.scores[self.used : need] = scores
+        self.places.update(zip(words, range(self.used, need)))
+        self.used = need
+        self.chars += sum(map(len, words))
 
     def predict(self, texts: list[str | None]) -> tuple[list[int], list[float]]:
         """The language of each text, -1 for none, and its posterior probability."""
-        if self.used > CACHED:
+        if self.used > CACHED or self.chars > CACHED_CHARS:
             self.forget()
         best, sure = [], []
         cut = [runs(t) if t and any(map(str.isalpha, t)) else None for t in texts]
@@ -201,12 +268,12 @@ class Model:
         return _scorers[self.name]
 
 
-def train(docs: DataFrame, vocabulary: str, per_lang: int = 1500, rounds: int = 3, smooth: float = 0.1) -> Model | None:
+def train(docs: DataFrame, vocabulary: str, per_lang: int = 1500, rounds: int = 3, smooth: float = 0.1, longest_word: int = 2000) -> Model | None:
     """Learn from docs(doc_id, text, lang) that are not held out and have text and lang; None if there are none.
 
     The probabilities come from `rounds` of expectation and maximisation, which start from equal probabilities. They are
-    fitted on about `per_lang` documents of each language, chosen by a hash of doc_id and taken whole; the prior counts
-    all documents. The driver gets a count for each piece and language. Expected counts are summed as integers, so
+    fitted on about `per_lang` documents of each language, chosen by a hash of doc_id, without words of more than
+    `longest_word` characters, of which a fit would hold every position; the prior counts all documents. The driver gets a count for each piece and language. Expected counts are summed as integers, so
     the order of partitions doesn't matter.
     """
     spark = docs.sparkSession
@@ -231,7 +298,7 @@ def train(docs: DataFrame, vocabulary: str, per_lang: int = 1500, rounds: int =
             for b in batches:
                 words: dict[int, Counter] = {}
                 for lang, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    words.setdefault(place[lang], Counter()).update(runs(text))
+                    words.setdefault(place[lang], Counter()).update(w for w in runs(text) if len(w) <= longest_word)
                 for k, counted in words.items():
                     if counted:
                         total[k] = total.get(k, 0) + lattice.expected(counted, probabilities[:, k])
@@ -259,7 +326,8 @@ def identify(docs: DataFrame, vocabulary: str, carry: bool = False, **how) -> Da
     language is among the documents learned from (see `train`). lang of the document itself plays no part.
 
     Null, empty and letterless texts: `und`, score 0. If there is nothing to learn from, all are `und`. Null doc_id: not
-    held out, not learned from. Repeated rows: a row each. Very long texts are scored whole.
+    held out, not learned from. Repeated rows: a row each. Very long texts and words are scored whole, in a time that grows with
+    their length.
     """
     model = train(docs, vocabulary, **how)
     spark = docs.sparkSession
