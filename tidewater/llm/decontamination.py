@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.session import staged
+from tidewater.llm.session import staged, together
 
 #: Consecutive words of an item that count when a document has them too.
 WINDOW = 13
@@ -149,10 +149,10 @@ def grams_of_rows(rows: np.ndarray) -> np.ndarray:
     return mixed(total)
 
 
-def united(old: list | None, new: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of both, joined where they touch or overlap."""
+def united(spans: list | None) -> list[tuple[int, int]]:
+    """Spans, joined where they touch or overlap."""
     out: list[tuple[int, int]] = []
-    for a, b in sorted([*((s["start"], s["end"]) for s in old or []), *new]):
+    for a, b in sorted((s["start"], s["end"]) for s in spans or []):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -177,6 +177,29 @@ def blocks(benchmark: DataFrame) -> Iterator[list[tuple[object, list[str]]]]:
 RESULT = {"n_words": pa.int64(), "spans": pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "items": pa.list_(pa.int64())}
 
 
+def sent(docs: DataFrame, lot: list):
+    return docs.sparkSession.sparkContext.broadcast(Fingerprints(lot))
+
+
+def prober(sent, carry: list[str], every: bool):
+    """A function of batches: `carry`'s columns with what the broadcast block's windows hit; of every row, or of those that are hit."""
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, len(b), 200):
+                part = b.slice(i, 200)
+                found = list(sent.value.probe(part.column("text").to_pylist()))
+                if not every:
+                    hit = [k for k, r in enumerate(found) if r[1]]
+                    part, found = part.take(pa.array(hit, pa.int64())), [found[k] for k in hit]
+                n = pa.array([r[0] for r in found], RESULT["n_words"])
+                spans = pa.array([[{"start": x, "end": y} for x, y in r[1]] for r in found], RESULT["spans"])
+                items = pa.array([sorted(set(r[2])) for r in found], RESULT["items"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), n, spans, items], names=[*carry, *RESULT])
+
+    return probe
+
+
 def annotate(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """docs' columns `carry` (all if None) with n_words, n_hit, spans, items, contaminated, in place of any of those names.
 
@@ -188,7 +211,8 @@ def annotate(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = No
     Documents and items are winnowed alike: of each 9 neighbouring hashes of 5 words, the smallest is a fingerprint, so a
     shared run of 13 words has a shared fingerprint. Documents' fingerprints are joined with a block of the benchmark's,
     which is broadcast; each hit is extended to the windows around it, and these are compared word for word. Items of
-    fewer than 13 words are looked up at each word. A benchmark of several blocks takes several passes.
+    fewer than 13 words are looked up at each word. A benchmark of several blocks takes a pass for each over one copy of the
+    texts, which writes no more than what it hits; the hits are then joined to the rows.
 
     Null and empty texts have no words. Items without words or id, or with a null text, have no windows. Repeated rows: a
     row each; repeated items: an id each. Very long texts are read whole. An empty benchmark hits nothing.
@@ -197,24 +221,30 @@ def annotate(docs: DataFrame, benchmark: DataFrame, carry: list[str] | None = No
     rows = docs.select(*carry, *([] if "text" in carry else ["text"]))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     made = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("items", T.ArrayType(T.LongType()))]
-    declared = T.StructType([*rows.schema.fields, *made])
-    names = [*rows.columns, *RESULT]
-    done = None
-    for lot in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(Fingerprints(lot))
-
-        def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+    lots = blocks(benchmark)
+    first, second = next(lots), next(lots, None)
+    if second is None:
+        done = rows.mapInArrow(prober(sent(docs, first), rows.columns, True), T.StructType([*rows.schema.fields, *made]))
+    else:
+        row = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_row")
+        kept = staged(rows.select(row, "text", F.monotonically_increasing_id().alias("_key")))
+        hits = []
+        for lot in chain([first, second], lots):
+            block = sent(docs, lot)
+            hits.append(staged(kept.select("_key", "text").mapInArrow(prober(block, ["_key"], False), T.StructType([T.StructField("_key", T.LongType()), *made]))))
+            block.unpersist()
+        found = together(hits).groupBy(F.col("_key").alias("_of")).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        both = kept.join(found, F.col("_key") == F.col("_of"), "left").select("_row", "text", "spans", "items")
+
+        def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i in range(0, len(b), 200):
-                    part = b.slice(i, 200)
-                    before = [part.column(c).to_pylist() for c in ("spans", "items")] if "spans" in part.schema.names else [[None] * len(part)] * 2
-                    rows = list(sent.value.probe(part.column("text").to_pylist()))
-                    n = pa.array([r[0] for r in rows], RESULT["n_words"])
-                    spans = pa.array([[{"start": x, "end": y} for x, y in united(old, r[1])] for old, r in zip(before[0], rows, strict=True)], RESULT["spans"])
-                    items = pa.array([sorted({*(old or []), *r[2]}) for old, r in zip(before[1], rows, strict=True)], RESULT["items"])
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[: -len(RESULT)]), n, spans, items], names=names)
-
-        done = (rows if done is None else staged(done)).mapInArrow(probe, declared)
+                n = pa.array([len(words_of(t)) for t in b.column("text").to_pylist()], RESULT["n_words"])
+                spans = pa.array([[{"start": x, "end": y} for x, y in united(s)] for s in b.column("spans").to_pylist()], RESULT["spans"])
+                items = pa.array([x or [] for x in b.column("items").to_pylist()], RESULT["items"])
+                yield pa.RecordBatch.from_arrays([b.column("_row"), n, spans, items], names=["_row", *RESULT])
+
+        done = both.mapInArrow(unite, T.StructType([kept.schema["_row"], *made]))
+        done = done.select(*[F.col("_row").getField(c).alias(c) for c in rows.columns], *RESULT)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
     done = done.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     return done.select(*carry, "n_words", "n_hit", "spans", "items", "contaminated")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import functools
 import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewater.staging import shared_dir
+
 #: Most rows, and bytes of their texts, that `small` lets Spark broadcast.
 SMALL_ROWS, SMALL_BYTES = 200_000, 32 << 20
 
@@ -37,14 +38,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint folder, which driver and executors share; under its warehouse, if none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoint")
-    return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 #: What `tidied` functions that run now have staged.
 _staged: list[list[str]] = []
 
@@ -83,6 +76,11 @@ def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """The rows of staged tables with the same columns, as one table."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[f for t in tables for f in t.inputFiles()])
+
+
 def small(df: DataFrame) -> DataFrame:
     """df marked for broadcasting if it has SMALL_ROWS rows and SMALL_BYTES of texts at most, else df itself (a shuffled join)."""
     texts = [F.octet_length(f"`{c}`") for c, kind in df.dtypes if kind in ("string", "binary")]
