@@ -3,6 +3,7 @@ import random
 
 import public_tokenizers
 
+from tidewater.llm import token_counts
 from tidewater.llm.token_counts import Trie, count
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -37,8 +38,36 @@ def test_trie_is_brute_force():
 def test_terminal_counts_and_shared_prefixes():
     trie = Trie(PATH)
     trie.count("token tokens token")
-    assert trie.seen[trie.words["token"]] == 2 and trie.seen[trie.words["tokens"]] == 1
     assert len(trie.best) == len("▁tokens") + 1
+    alone = [Trie(PATH).count(w)[1:] for w in ("token", "tokens")]
+    assert [(trie.pieces[trie.words[w]], trie.summed[trie.words[w]]) for w in ("token", "tokens")] == alone
+
+
+def test_long_words_take_a_window(monkeypatch):
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaonsi日é", k=rng.randint(30, 200))) for _ in range(30)]
+    trie = Trie(PATH)
+    whole = [trie.count(f"a {w} b {w}") for w in words]
+    monkeypatch.setattr(token_counts, "LONG", 20)
+    cut = Trie(PATH)
+    for (n, pieces, summed), w in zip(whole, words):
+        got = cut.count(f"a {w} b {w}")
+        assert got[:2] == (n, pieces) and math.isclose(got[2], summed, rel_tol=1e-12)
+    assert set(cut.words) == {"a", "b"}
+
+
+def test_query_is_brute_force(documents):
+    """The table's rows against all segmentations of each word."""
+    trie, rng = Trie(PATH), random.Random(6)
+    rows = [(i, " ".join("".join(rng.choices("etaons", k=rng.randint(1, 8))) for _ in range(rng.randint(0, 6)))) for i in range(40)]
+    for r in count(documents(rows), PATH).collect():
+        pieces, total = 0, 0.0
+        for w in rows[r.doc_id][1].split():
+            ways = cuts("▁" + w, trie.score, trie.rare)
+            best = max(a for a, _ in ways)
+            pieces += min(k for a, k in ways if math.isclose(a, best, rel_tol=1e-12))
+            total += math.log(sum(math.exp(a) for a, _ in ways))
+        assert (r.n_words, r.n_tokens) == (len(rows[r.doc_id][1].split()), pieces) and math.isclose(r.log_score, total, abs_tol=2e-6)
 
 
 def test_odd_rows(odd, documents):

@@ -9,8 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: A worker starts a new trie when it has so many nodes.
-NODES = 2_000_000
+#: A worker starts a new trie when it has so many nodes. Words of more characters than LONG don't go into it.
+NODES, LONG = 2_000_000, 2_000
 
 _tries: dict[str, "Trie"] = {}
 
@@ -21,8 +21,8 @@ class Trie:
     A piece of rank r (its place in the vocabulary, which is ordered by use) has a probability in proportion to
     1 / (r + 1). Each node holds, for the text from the root to it: the highest probability of a segmentation, the pieces
     in it (of equal ones the fewest), and the probability summed over all segmentations, all from its ancestors' values.
-    A character that the vocabulary lacks is its UTF-8 bytes, each as likely as the last piece. A word's node counts how
-    often the word was seen.
+    A character that the vocabulary lacks is its UTF-8 bytes, each as likely as the last piece. The node at which a word ends
+    has the word's counts, which is what texts look up.
     """
 
     def __init__(self, vocabulary: str):
@@ -35,6 +35,7 @@ class Trie:
                 ranks[sp.id_to_piece(i)] = len(ranks)
         whole = math.log(sum(1 / (r + 1) for r in ranks.values()))
         self.score = {p: -math.log(r + 1) - whole for p, r in ranks.items()}
+        self.longest = max(map(len, ranks))
         self.rare = min(self.score.values())
         self.ends = {p[i:] for p in ranks for i in range(len(p))}
         self.clear()
@@ -51,8 +52,8 @@ class Trie:
     def clear(self) -> None:
         self.next: dict[int, int] = {}  # node and character -> node
         self.best, self.summed = array("d", [0.0]), array("d", [0.0])
-        self.pieces, self.seen = array("l", [0]), array("l", [0])
-        self.words: dict[str, int] = {}
+        self.pieces = array("l", [0])
+        self.words: dict[str, int] = {}  # words and their terminal nodes
 
     def insert(self, word: str) -> int:
         """The node of a word."""
@@ -83,25 +84,57 @@ class Trie:
                 self.best.append(best)
                 self.pieces.append(fewest)
                 self.summed.append(top + math.log(sum([math.exp(s - top) for s in sums])))
-                self.seen.append(0)
             node = there
             path.append(node)
         return node
 
+    def alone(self, word: str) -> tuple[int, float]:
+        """Pieces and summed log probability of a long word: the same pass, over a window of the last positions."""
+        score, ends = self.score, self.ends
+        window = [(0.0, 0, 0.0)]  # (best, pieces, summed) of the last positions
+        for j, c in enumerate(word, 1):
+            best, fewest, sums = -math.inf, 0, []
+            for back in range(1, len(window) + 1):
+                piece = word[j - back : j]
+                s, n = score.get(piece), 1
+                if s is None:
+                    if back == 1:
+                        n = len(c.encode("utf-8", "surrogatepass"))
+                        s = n * self.rare
+                    elif piece not in ends:
+                        break
+                    else:
+                        continue
+                was = window[-back]
+                sums.append(was[2] + s)
+                if was[0] + s > best or was[0] + s == best and was[1] + n < fewest:
+                    best, fewest = was[0] + s, was[1] + n
+            top = max(sums)
+            window.append((best, fewest, top + math.log(sum([math.exp(s - top) for s in sums]))))
+            if len(window) > self.longest:
+                del window[0]
+        return window[-1][1:]
+
     def count(self, text: str | None) -> tuple[int, int, float]:
         """Words, pieces, and summed log probability of a text."""
-        words = text.split() if text else []
+        words = every = text.split() if text else []
         known = self.words
+        n, total = 0, 0.0
+        if text and len(text) > LONG and any(len(w) > LONG for w in words):
+            for w in words:
+                if len(w) > LONG:
+                    pieces, summed = self.alone("▁" + w)
+                    n += pieces
+                    total += summed
+            words = [w for w in words if len(w) <= LONG]
         for w in {*words}.difference(known):
             known[w] = self.insert("▁" + w)
         nodes = [known[w] for w in words]
-        pieces, summed, seen = self.pieces, self.summed, self.seen
-        n, total = 0, 0.0
+        pieces, summed = self.pieces, self.summed
         for x in nodes:
             n += pieces[x]
             total += summed[x]
-            seen[x] += 1
-        return len(words), n, total
+        return len(every), n, total
 
 
 def count(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -112,7 +145,7 @@ def count(docs: DataFrame, vocabulary: str) -> DataFrame:
     summed over all segmentations, rounded to 6 digits. The work for a word is done once in a worker (see `Trie`).
 
     Null and empty texts: 0, 0, 0. Repeated rows: a row each. Very long texts are counted whole; a run of any length is a
-    word. An empty table: no rows. Other columns play no part.
+    word, and one of more than LONG characters takes a window's memory. An empty table: no rows. Other columns play no part.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
