@@ -25,7 +25,7 @@ def test_same_as_brute_force(spark, monkeypatch, spread):
     rows = [(i, [rng.gauss(0, s) for s in scale]) for i in range(400)] + [(500 + i, [0.5] * 12) for i in range(20)]
     rows += [(600, None), (650, [0.1, None] + [0.0] * 10), (700, [float("nan")] * 12), (None, [0.1] * 12), (750, [float("inf")] * 12), (800, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS score", "2 AS rank").repartition(5)
-    monkeypatch.setattr(exact_search, "BLOCK", 3)
+    monkeypatch.setattr(exact_search, "BLOCK_BYTES", 300)
     got = {(r.query_id, r["rank"], r.vec_id, r.score) for r in search(df).collect()}
     assert got == brute(rows)
 
@@ -41,6 +41,16 @@ def test_bounds_spare_probes():
     assert shard.best[0][1].tolist() == want.tolist()
 
 
+def test_sums_beyond_a_long(spark):
+    """Components of 2^45 and more, whose products no long holds: scores are exact up to its ends."""
+    rows = [(0, [2.0**40, 1.0, 2.0**30]), (1, [1.0, 2.0**20, 0.5]), (2, [-(2.0**40), 0.0, 3.0]), (3, [2.0**40, 5.0, 0.0]), (4, [1e300, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ends = lambda x: max(-(2**63), min(2**63 - 1, x))
+    q = {i: [ends(math.floor(256 * x)) for x in v] for i, v in rows}
+    want = sorted(((-ends(sum(a * b for a, b in zip(q[0], v))), j) for j, v in q.items() if j))
+    assert [(-r.score, r.vec_id) for r in search(df).orderBy("rank").collect()] == want
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in search(df).collect()] == [(0, 1, 1, 256 * 512)]

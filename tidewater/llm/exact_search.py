@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.session import staged
+from tidewater.llm.session import staged, together
 
-#: Queries in one block: what a pass over the rows broadcasts.
-BLOCK = 4096
+#: Bytes of the vectors of one block of queries: what the driver holds and a pass over the rows broadcasts, one at a time.
+BLOCK_BYTES = 16 << 20
 #: Rows in a shard's stretch of postings that is traversed at once.
 STRETCH = 8192
 
@@ -56,8 +56,8 @@ class Shard:
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
         queries, dims = self.queries, max(self.queries.shape[1], rows.shape[1])
         queries, rows = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (queries, rows))
-        exact = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(dims, 1) < 2**52
-        kind = np.float64 if exact else np.int64  # sums of products below 2^52 are exact in either
+        bound = np.abs(queries.astype(float)).max(initial=0) * np.abs(rows.astype(float)).max(initial=0) * max(dims, 1)
+        kind = np.float64 if bound < 2**52 else np.int64 if bound < 2**62 else object  # where sums of products are exact
         columns = np.ascontiguousarray(rows.T.astype(kind))
         low, high = columns.min(axis=1, initial=0), columns.max(axis=1, initial=0)
         for q in range(len(self.ids)):
@@ -85,7 +85,7 @@ class Shard:
                 keep = scores >= floor_
                 live, scores = live[keep], scores[keep]
             own = ids[live] != self.ids[q]
-            live, scores = live[own], scores[own].astype(np.int64)
+            live, scores = live[own], np.clip(scores[own], -(2**63), 2**63 - 1).astype(np.int64) if kind is object else scores[own].astype(np.int64)
             if len(live):
                 s, v = np.concatenate([got[0], scores]), np.concatenate([got[1], ids[live]])
                 if len(s) > 4 * self.k:
@@ -100,21 +100,23 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     inner product, components being floor(256 * x). Columns query_id, rank (from 1), vec_id, score; ties go to the smaller
     vec_id. Exact.
 
-    Queries go in blocks of BLOCK, which is what one pass broadcasts. A task is a shard: it finds the k best of its rows
-    for each query of the block by MaxScore (see `Shard`), and shards are merged by query.
+    Queries go in blocks of BLOCK_BYTES, one pass over the rows each: a block is broadcast, its shards' results are written,
+    and the broadcast is gone before the next. A task is a shard: it finds the k best of its rows for each query of the
+    block by MaxScore (see `Shard`), and shards are merged by query.
 
     Rows with a null vec_id, a null vector or a component that is null or not finite take no part. A query's own row is
     any row of its vec_id. A repeated vec_id asks once (with its greatest vector) and is found as often as it is there.
-    Vectors of fewer components are filled with 0. Fewer than k candidates: all of them. No rows, no result. Other columns
+    Vectors of fewer components are filled with 0. Components
+    and scores beyond a long are its ends. Fewer than k candidates: all of them. No rows, no result. Other columns
     play no part.
     """
     spark = vectors.sparkSession
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("v"))
     asked = staged(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.max("v").alias("v")))
-    n = asked.count()
-    blocks = -(-n // BLOCK)
+    n, dims = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks = -(-n * 8 * max(dims, 1) // BLOCK_BYTES)
     block = F.pmod(F.xxhash64("vec_id"), F.lit(max(blocks, 1)))
-    found = None
+    found = []
     for i in range(blocks):
         own = asked.where(block == i).orderBy("vec_id").toArrow().combine_chunks()
         if not own.num_rows:
@@ -132,10 +134,11 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
                 columns = [np.repeat(shard.ids, kept), np.concatenate([v for _, v in shard.best]), np.concatenate([s for s, _ in shard.best])]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
 
-        part = rows.mapInArrow(scan, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+        found.append(staged(rows.mapInArrow(scan, "query_id long, vec_id long, score long")))
+        sent.unpersist()
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = together(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
