@@ -49,7 +49,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     """One row for each row of docs(doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
 
     Each document of a source is expected target / source_size times. Within a source the documents stand in order of
-    (size, doc_id); their expected copies are summed along that order, one random offset is added, and a document is
+    (size, doc_id, hash of the text); their expected copies are summed along that order, one random offset is added, and a document is
     taken once for each integer that its interval crosses. Neighbours have like sizes, so the words taken differ from
     the target by no more than the source's largest size. The same rows give the same result, in any partitioning.
 
@@ -57,25 +57,33 @@ def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2,
     documents of their own. A source without words: target 0, no copies. An empty table: no rows. Other columns of docs
     play no part, whatever their names.
     """
-    spark = docs.sparkSession
-    base = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
+    base = staged(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_h")))
+    rows = placed(base, share, weights, most, seed)
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def placed(base: DataFrame, share: float, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
+    """base(doc_id, source, size, _h, ...), a written table, with source_size, target and copies."""
+    spark = base.sparkSession
     totals = staged(base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
     n = slices(spark, totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 2_000_000)
     goal = small(staged(targets(totals.drop("n"), share, weights, most)).withColumnRenamed("source", "_source"))
-    rows = numbered(base, n, ["source"], ["size", "doc_id"], "_i").join(goal, F.col("source").eqNullSafe(F.col("_source")), "left")
+    rows = numbered(base, n, ["source"], ["size", "doc_id", "_h"], "_i").join(goal, F.col("source").eqNullSafe(F.col("_source")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(rate * (F.col("_i") + 1) + F.col("_u")) - F.floor(rate * F.col("_i") + F.col("_u"))
-    rows = rows.withColumn("_u", offset(F.col("source"), seed)).withColumn("copies", F.least(crossed, F.ceil(F.lit(float(most)))).cast("long"))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.withColumn("_u", offset(F.col("source"), seed)).withColumn("copies", F.least(crossed, F.ceil(F.lit(float(most)))).cast("long"))
 
 
 def mixed(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), most: float = 2.0, seed: int = 0) -> DataFrame:
-    """docs with each row as often as `mix` takes it. Rows that share a doc_id, or have none, are each taken as often as
-    these are on average, rounded."""
-    copies = mix(docs, share, weights, most, seed).groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.avg("copies")).cast("int").alias("_copies"))
-    taken = copies.where("_copies > 0")
-    again = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return again.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs with each row as often as `mix` takes it, row by row: rows that share a doc_id, or have none, are documents of
+    their own. Each row gets a key in a written table and is joined with its copies by that key, so no key is hot, and its
+    columns travel in one struct, whatever their names. Nulls, empty texts and empty tables: as in `mix`."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    kept = docs.select(row, "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_key"))
+    kept = staged(kept)
+    copies = placed(kept.drop("_row"), share, weights, most, seed).where("copies > 0").select(F.col("_key").alias("_k"), "copies")
+    again = kept.select("_row", "_key").join(copies, F.col("_key") == F.col("_k"))
+    return again.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""
