@@ -16,7 +16,7 @@ def folder(spark, documents, tmp_path):
     rows += [(100 + i, rows[i][1] + " tail", "en", "a") for i in range(10)]
     rows += [(200 + i, bench[i][1] + " " + rows[i][1].replace("w1", "u1"), "en", "b") for i in range(5)]
     rows += [(300, None, "en", "a"), (301, "12 34", "en", "a"), (302, "", None, None), (None, "no id at all", None, None), (40, "a second text of document forty", "en", "a")]
-    df = documents(rows, score=1.5, n_words="x", copies=3)
+    df = documents(rows, score=1.5, n_words="x", copies=3, _id=4, _copies=5, _gone=6, _again=7, _rest=8, _row=9, _key=10)
     df.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     return str(tmp_path), rows, bench
@@ -31,7 +31,7 @@ def test_stages_by_brute_force(spark, folder):
         kept = staged(stage(spark, kept, where))
         assert kept.columns == docs.columns, name
         seen.append([(r.doc_id, r.text) for r in kept.collect()])
-        assert {(r.score, r.n_words, r.copies) for r in kept.collect()} == {(1.5, "x", 3)}
+        assert {(r.score, r.n_words, r.copies, r._id, r._copies, r._gone, r._again, r._rest, r._row, r._key) for r in kept.collect()} == {(1.5, "x", *range(3, 11))}
     language, near, clean, mixed = seen
     assert sorted(language, key=str) == sorted(((i, t) for i, t, *_ in rows if t and any(c.isalpha() for c in t)), key=str)
     groups = near_components([x for x in language if x[0] is not None and x[1] != "a second text of document forty"])
@@ -44,6 +44,14 @@ def test_stages_by_brute_force(spark, folder):
     assert len(last) == len(mixed)
 
 
+def test_empty_tables(spark, documents, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = documents([], _gone=1)
+    for _, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.collect() == []
+
+
 def test_run(spark, folder):
     rows = corpus_pipeline.run(spark, folder[0]).collect()
     assert rows and {r.law for r in rows} == {"bytes"}
