@@ -445,10 +445,21 @@ class Dialect:
                     out[k] = "concat_ws"
                     out[-1] = "(''," + out[-1][1:]
             i = end + 1
+        out = self.types(out)
         out = self.windows(out)
         out = self.quotients(out)
         return joined(self.quantifiers(self.memberships(out, keeps)))
 
+    def types(self, out: list[str]) -> list[str]:
+        """Names of types behind AS and ::, where Spark has others."""
+        at = solid(out)
+        for a, b in zip(at, at[1:], strict=False):
+            if out[a].lower() in ("as", "::") and (spark := {"varchar": "STRING", "text": "STRING", "hugeint": "DECIMAL(38,0)", "blob": "BINARY", "timestamp": "TIMESTAMP_NTZ"}.get(out[b].lower())):
+                follows = next((out[k] for k in at if k > b), "")
+                if not follows.startswith("("):
+                    out[b] = spark
+        return out
+
     def ordered_call(self, out: list[str], call: str, inside: list[str]) -> list[str]:
         """An ORDER BY in parentheses: of a window, of WITHIN GROUP, or of an aggregate's arguments."""
         at = next(i for i, w in words(inside) if w == "order")

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tidewater import functions as fn
 from tidewater.engine import Engine
-from tidewater.errors import Refused
+from tidewater.errors import Conflict, NotAllowed, Refused
 from tidewater.operators import joins, relations
-from tidewater.sources import ParquetDirSource, VersionedSource
+from tidewater.sources import MemorySource, ParquetDirSource, Verb, VersionedSource
 from tidewater.sources.files import scratch
 from tidewater.writes import When
 
@@ -83,7 +83,10 @@ both("p9_in_list", "SELECT c_custkey, c_nationkey NOT IN (1, 2) AS n, nullif(c_n
 both("p10_case", "SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' END AS size, CASE o_orderstatus WHEN 'O' THEN 1 ELSE 0 END AS is_open FROM orders")
 both("p11_cast", "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS d, CAST(o_orderkey AS VARCHAR) AS s, TRY_CAST(o_orderpriority AS INTEGER) AS t FROM orders",
      "SELECT o_orderkey, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DOUBLE) AS d, CAST(o_orderkey AS STRING) AS s, TRY_CAST(o_orderpriority AS INT) AS t FROM orders")
-both("p12_unnest", "SELECT vec_id, unnest(embedding) AS x FROM embeddings WHERE vec_id < 50", "SELECT vec_id, explode(embedding) AS x FROM embeddings WHERE vec_id < 50")
+both("p12_unnest", "SELECT vec_id, unnest(embedding) AS x FROM embeddings", "SELECT vec_id, explode(embedding) AS x FROM embeddings")
+both("p12_unnest_position", "SELECT vec_id, unnest(embedding) AS x, CAST(unnest(range(len(embedding))) AS BIGINT) AS i FROM embeddings", "SELECT vec_id, x, CAST(i AS BIGINT) AS i FROM embeddings LATERAL VIEW posexplode(embedding) e AS i, x")
+both("p12_unnest_outer", "SELECT c_custkey, s.k FROM customer LEFT JOIN (SELECT c_custkey AS c, unnest(CASE WHEN c_acctbal > 0 THEN [c_nationkey, c_nationkey + 1] ELSE [] END) AS k FROM customer) s ON c_custkey = s.c",
+     "SELECT c_custkey, explode_outer(CASE WHEN c_acctbal > 0 THEN array(c_nationkey, c_nationkey + 1) ELSE array() END) AS k FROM customer")
 both("p13_like", "SELECT p_partkey, p_name LIKE '%a%' AS a, p_name NOT LIKE '_b%' AS b, p_type ILIKE '%STEEL%' AS c, p_type NOT ILIKE 'promo%' AS d FROM part")
 both("p14_list_transform", "SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(round(x * 100) AS BIGINT)))::BIGINT AS s FROM embeddings",
      "SELECT vec_id, aggregate(transform(embedding, x -> CAST(round(x * 100) AS BIGINT)), 0L, (a, x) -> a + x) AS s FROM embeddings")
@@ -138,10 +141,11 @@ frame("j8_asof_left_join", ASOF.format(how="LEFT", op=">="))(lambda t, spark: as
 frame("j8_asof_strict_join", ASOF.format(how="", op=">"))(lambda t, spark: asof(t, "inner", True))
 
 
-@frame("j9_positional_join", """SELECT a.n_name, b.r_name FROM (SELECT n_name FROM nation ORDER BY n_nationkey) a POSITIONAL JOIN (SELECT r_name FROM region ORDER BY r_regionkey) b""")
+@frame("j9_positional_join", """SELECT a.o_orderkey, a.o_totalprice, b.c_custkey, b.c_name FROM (SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey) a
+POSITIONAL JOIN (SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal, c_custkey) b""")
 def _(t, spark):
-    both_ = joins.positional_join(t("nation"), t("region"), [F.col("n_nationkey").asc_nulls_last()], [F.col("r_regionkey").asc_nulls_last()])
-    return both_.select("n_name", "r_name")
+    both_ = joins.positional_join(t("orders"), t("customer"), [F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey").asc_nulls_last()], [F.col("c_acctbal").asc_nulls_last(), F.col("c_custkey").asc_nulls_last()])
+    return both_.select("o_orderkey", "o_totalprice", "c_custkey", "c_name")
 
 
 both("j10_cross_product", "SELECT a.r_name AS a, n_name AS b FROM region a CROSS JOIN nation")
@@ -153,10 +157,10 @@ both("j14_lateral", "SELECT n_name, t.top FROM nation, LATERAL (SELECT max(s_acc
 for op_, quantifier_ in ((">", "ANY"), (">", "ALL"), ("<>", "ANY"), ("=", "ALL"), ("<=", "ANY"), ("<", "ALL"), ("=", "ANY"), ("<>", "ALL")):
     names_ = {">": "gt", "<>": "ne", "=": "eq", "<=": "le", "<": "lt"}
 
-    @frame(f"j15_{names_[op_]}_{quantifier_.lower()}", f"SELECT c_custkey, nullif(c_nationkey, 9) {op_} {quantifier_} (SELECT nullif(s_nationkey, 24) FROM supplier WHERE s_suppkey < 12) AS mark FROM customer")
+    @frame(f"j15_{names_[op_]}_{quantifier_.lower()}", f"SELECT c_custkey, nullif(c_nationkey, 9) {op_} {quantifier_} (SELECT nullif(s_nationkey, 24) FROM supplier) AS mark FROM customer")
     def _(t, spark, op=op_, quantifier=quantifier_):
         left = t("customer").select("c_custkey", F.expr("nullif(c_nationkey, 9)").alias("k"))
-        right = t("supplier").where("s_suppkey < 12").select(F.expr("nullif(s_nationkey, 24)").alias("s"))
+        right = t("supplier").select(F.expr("nullif(s_nationkey, 24)").alias("s"))
         return joins.quantified(left, right, "k", op, quantifier, "s").select("c_custkey", "mark")
 
 
@@ -270,13 +274,29 @@ def _(t, spark):
 both("o4_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100")
 
 
-@frame("o5_ordered_transport", "SELECT n_name, CAST(row_number() OVER (ORDER BY n_name DESC) - 1 AS BIGINT) AS position FROM nation")
+@frame("o5_ordered_transport", "SELECT o_orderkey, o_orderpriority, CAST(row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS BIGINT) AS position FROM orders")
 def _(t, spark):
-    return relations.with_position(t("nation").select("n_name"), [F.col("n_name").desc_nulls_last()])
+    order = [F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey").asc_nulls_last()]
+    return relations.with_position(t("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), order).select("o_orderkey", "o_orderpriority", "position")
 
 
 frame("o6_sample_rows")(lambda t, spark: relations.sample_rows(t("orders").select("o_orderkey"), 50, 7))
 frame("o6_sample_percent")(lambda t, spark: relations.sample_percent(t("orders").select("o_orderkey"), 10, 7))
+
+
+# What can be said of samples in SQL: how many rows, all of them the table's, none twice
+@frame("o6_sample_rows_count", "SELECT least(count(*), 50) AS n, least(count(*), 50) AS of_table FROM orders")
+def _(t, spark):
+    return relations.sample_rows(t("orders").select("o_orderkey"), 50, 7).join(t("orders").select(F.col("o_orderkey").alias("k")), F.col("o_orderkey") == F.col("k"), "left").agg(F.count_distinct("o_orderkey").alias("n"), F.count_distinct("k").alias("of_table"))
+
+
+@frame("o6_sample_percent_count", "SELECT true AS near, CAST(0 AS BIGINT) AS others FROM (SELECT count(*) FROM orders)")
+def _(t, spark):
+    n = t("orders").agg(F.count(F.lit(1)).alias("n"))
+    got = relations.sample_percent(t("orders").select("o_orderkey"), 10, 7).join(t("orders").select(F.col("o_orderkey").alias("k")), F.col("o_orderkey") == F.col("k"), "left").agg(F.count(F.lit(1)).alias("m"), F.count(F.when(F.col("k").isNull(), 1)).alias("others"))
+    return got.crossJoin(n).select((F.abs(F.col("m") - F.col("n") * 0.1) <= 6 * F.sqrt(F.col("n") * 0.09)).alias("near"), "others")
+
+
 both("o7_union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region UNION ALL SELECT n_name FROM nation WHERE n_nationkey < 3")
 both("o7_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 
@@ -353,17 +373,77 @@ placed("r6_seam", "SELECT c_custkey, c_name FROM customer WHERE c_custkey BETWEE
 placed("r6_no_seam_without_consent", "SELECT c_custkey FROM customer WHERE c_custkey BETWEEN 1 AND 40", f"SELECT c_custkey FROM far.customer JOIN {near_} ON c_custkey = near.k", lambda e: not e.slices[0].sends, seam=False)
 
 
-@frame("g1_verbs", "SELECT 'refused' AS outcome")
+def outcome(e: Engine, statement: str) -> str:
+    try:
+        e.sql(statement).collect()
+    except NotAllowed:
+        return "not allowed"
+    except Refused:
+        return "refused"
+    return "done"
+
+
+#: A statement for each verb.
+EACH_VERB = [
+    ("SELECT", "SELECT * FROM far.r"), ("INSERT", "INSERT INTO far.r VALUES (77, 'x')"), ("UPDATE", "UPDATE far.r SET r_name = 'y'"), ("DELETE", "DELETE FROM far.r"), ("ALTER", "ALTER TABLE far.r ADD COLUMN z INTEGER"), ("DROP", "DROP TABLE far.r"),
+]
+
+
+@frame("g1_verbs", " UNION ALL ".join(f"SELECT a.v AS allowed, '{v}' AS verb, CASE WHEN a.v = '{v}' THEN 'done' ELSE 'not allowed' END AS outcome FROM (SELECT unnest([{', '.join(repr(x) for x, _ in EACH_VERB)}]) AS v) a" for v, _ in EACH_VERB))
+def _(t, spark):
+    rows = []
+    for allowed, _ in EACH_VERB:
+        for verb, statement in EACH_VERB:
+            e = Engine(spark)
+            e.attach("far", VersionedSource(spark, scratch(spark), verbs={"r": frozenset({Verb[allowed]})}))
+            e.create_table_as("far.r", t("region"))
+            rows.append((allowed, verb, outcome(e, statement)))
+    return spark.createDataFrame(rows, "allowed string, verb string, outcome string")
+
+
+@frame("g2_select_when_read", "SELECT 'bare' AS write, 'done' AS outcome UNION ALL SELECT 'reads', 'not allowed' UNION ALL SELECT 'filters', 'not allowed' UNION ALL SELECT 'returns', 'not allowed'")
 def _(t, spark):
     e = Engine(spark)
-    e.attach("far", VersionedSource(spark, scratch(spark), verbs={"r": frozenset()}))
+    e.attach("far", VersionedSource(spark, scratch(spark), verbs={"r": frozenset({Verb.UPDATE, Verb.DELETE})}))
     e.create_table_as("far.r", t("region"))
-    try:
-        e.sql("SELECT * FROM far.r")
-        outcome = "allowed"
-    except Refused:
-        outcome = "refused"
-    return spark.createDataFrame([(outcome,)], "outcome string")
+    writes = {"bare": "UPDATE far.r SET r_name = 'x'", "reads": "UPDATE far.r SET r_name = upper(r_name)", "filters": "DELETE FROM far.r WHERE r_regionkey = 1", "returns": "DELETE FROM far.r RETURNING *"}
+    return spark.createDataFrame([(k, outcome(e, s)) for k, s in writes.items()], "write string, outcome string")
+
+
+@frame("g4_policy_shape", "SELECT 'columns' AS policy, 'refused' AS outcome UNION ALL SELECT 'merge', 'refused' UNION ALL SELECT 'rowid', 'refused' UNION ALL SELECT 'rows', 'done'")
+def _(t, spark):
+    rows = []
+    for name, policy, statement in (
+        ("columns", lambda df: df.select("r_name"), "SELECT * FROM far.r"), ("merge", lambda df: df.where("r_regionkey > 1"), "MERGE INTO far.r USING (VALUES (1)) s(k) ON r_regionkey = s.k WHEN MATCHED THEN DELETE"),
+        ("rowid", lambda df: df.select("r_regionkey", "r_name"), "DELETE FROM far.r"), ("rows", lambda df: df.where("r_regionkey > 1"), "DELETE FROM far.r WHERE r_regionkey < 3"),
+    ):
+        e = Engine(spark)
+        e.attach("far", VersionedSource(spark, scratch(spark), hidden={"r": policy}))
+        e.create_table_as("far.r", t("region"))
+        rows.append((name, outcome(e, statement)))
+    return spark.createDataFrame(rows, "policy string, outcome string")
+
+
+@frame("g5_catalog_check", "SELECT 'one' AS catalogs, 'done' AS outcome UNION ALL SELECT 'both', 'not allowed'")
+def _(t, spark):
+    def check(alias: str) -> None:
+        if alias != "far":
+            raise NotAllowed(alias)
+
+    e = Engine(spark)
+    e.attach("far", MemorySource({"r": t("region")}, group="g", catalogs=check))
+    e.attach("more", MemorySource({"n": t("nation")}, group="g"))
+    both_ = "SELECT * FROM far.r JOIN more.n ON r_regionkey = n_regionkey"
+    return spark.createDataFrame([("one", outcome(e, "SELECT * FROM far.r")), ("both", outcome(e, both_))], "catalogs string, outcome string")
+
+
+@frame("g7_identity", "SELECT count(*) AS n, (SELECT count(*) FROM nation) AS m FROM region")
+def _(t, spark):
+    one, other = Engine(spark), Engine(spark)
+    one.attach("far", MemorySource({"x": t("region")}))
+    other.attach("far", MemorySource({"x": t("nation")}))
+    a, b = one.sql("SELECT count(*) AS n FROM far.x"), other.sql("SELECT count(*) AS m FROM far.x")
+    return a.crossJoin(b)
 
 
 def policed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,12 +459,12 @@ ORACLES["g3_row_policy"] = "SELECT o_orderpriority, count(*) AS n FROM orders WH
 def listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark)
     e.attach("far", ParquetDirSource(spark, sf_dir))
-    rows = [(table_, k, f.name) for _, _, table_ in e.tables() for k, f in enumerate(e.describe(f"far.{table_}").schema.fields) if table_ in ("nation", "orders", "region")]
+    rows = [(table_, k, f.name) for _, _, table_ in e.tables() for k, f in enumerate(e.describe(f"far.{table_}").schema.fields)]
     return spark.createDataFrame(rows, "table_name string, position long, column_name string")
 
 
 QUERIES["s10_catalog"] = listed
-ORACLES["s10_catalog"] = "SELECT table_name, CAST(ordinal_position - 1 AS BIGINT) AS position, column_name FROM information_schema.columns WHERE table_name IN ('nation', 'orders', 'region')"
+ORACLES["s10_catalog"] = "SELECT table_name, CAST(ordinal_position - 1 AS BIGINT) AS position, column_name FROM information_schema.columns WHERE table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ")"
 
 
 def written(name: str, sql: str | None = None, key: tuple[str, ...] = ("c_custkey",)) -> Callable[[Callable], Callable]:
@@ -436,17 +516,17 @@ def _(e, spark, t):
     e.delete("far.customer", using=t("nation").where("n_regionkey = 2"), on="t.c_nationkey = s.n_nationkey")
 
 
-@written("d5_merge", f"{C4} WHERE c_custkey > 200 UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal + 1 FROM customer WHERE c_custkey <= 200 AND c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 5000000, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey <= 10")
+@written("d5_merge", f"{C4} WHERE c_nationkey > 9 UNION ALL SELECT c_custkey, c_name, c_nationkey, c_acctbal + 1 FROM customer WHERE c_nationkey <= 9 AND c_custkey % 2 = 0 UNION ALL SELECT c_custkey + 5000000, c_name, c_nationkey, c_acctbal FROM customer WHERE c_nationkey < 2")
 def _(e, spark, t):
     rows = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
-    source = rows.where("c_custkey <= 200").unionByName(rows.where("c_custkey <= 10").withColumn("c_custkey", F.col("c_custkey") + 5000000))
+    source = rows.where("c_nationkey <= 9").unionByName(rows.where("c_nationkey < 2").withColumn("c_custkey", F.col("c_custkey") + 5000000))
     actions = [When(True, "delete", condition="s.c_custkey % 2 = 1"), When(True, "update", {"c_acctbal": "t.c_acctbal + 1"}), When(False, "insert", {c: f"s.{c}" for c in rows.columns})]
     e.merge("far.customer", source, "t.c_custkey = s.c_custkey", actions)
 
 
-@written("d6_on_conflict", f"{C4} UNION ALL SELECT c_custkey + 7000000, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey <= 5")
+@written("d6_on_conflict", f"{C4} UNION ALL SELECT c_custkey + 7000000, c_name, c_nationkey, c_acctbal FROM customer WHERE c_acctbal > 0")
 def _(e, spark, t):
-    rows = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal").where("c_custkey <= 5")
+    rows = t("customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal").where("c_acctbal > 0")
     e.insert("far.customer", rows.unionByName(rows.withColumn("c_custkey", F.col("c_custkey") + 7000000)), on_conflict="nothing")
 
 
@@ -490,3 +570,129 @@ def _(e, spark, t):
     e.begin()
     e.delete("far.customer", where="c_nationkey = 1")
     e.commit()
+
+
+# One text for the engine and for DuckDB: far is an attached folder here
+def asked(name: str, text: str, sql: str | None = None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = Engine(spark)
+        e.attach("far", ParquetDirSource(spark, sf_dir))
+        return e.sql(text)
+
+    QUERIES[name], ORACLES[name] = run, sql or text.replace("far.", "")
+
+
+asked("s9_rowid", "SELECT count(DISTINCT rowid) AS ids, count(*) AS n FROM far.lineitem", "SELECT count(*) AS ids, count(*) AS n FROM lineitem")
+asked("o1_order_by_sql", "SELECT c_custkey, CAST(row_number() OVER (ORDER BY nullif(c_mktsegment, 'BUILDING'), c_custkey) AS BIGINT) AS place FROM far.customer ORDER BY nullif(c_mktsegment, 'BUILDING'), c_custkey")
+asked("f1_division_sql", "SELECT o_orderkey, o_custkey / (o_orderkey % 3) AS q, o_custkey // 7 AS i, o_totalprice / o_custkey / 2 AS r FROM far.orders")
+asked("f6_concat_sql", "SELECT c_custkey, concat(nullif(c_mktsegment, 'BUILDING'), '-', c_name) AS a, nullif(c_mktsegment, 'BUILDING') || c_name AS b FROM far.customer")
+asked("j6_mark_sql_value", "SELECT c_custkey, nullif(c_nationkey, 2) IN (SELECT nullif(s_nationkey, 7) FROM far.supplier WHERE s_acctbal > 0) AS mark, nullif(c_nationkey, 2) NOT IN (SELECT s_nationkey FROM far.supplier WHERE s_acctbal > 9000) AS unmarked FROM far.customer")
+asked("j6_mark_is_null", "SELECT c_custkey FROM far.customer WHERE (nullif(c_nationkey, 2) IN (SELECT nullif(s_nationkey, 7) FROM far.supplier WHERE s_acctbal > 0)) IS NULL")
+asked("j8_asof_sql", """SELECT e.event_id, p.purchase_id FROM (SELECT * FROM far.events WHERE event_type <> 'purchase') e
+ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS purchase_id FROM far.events WHERE event_type = 'purchase' GROUP BY user_id, ts) p ON e.user_id = p.user_id AND e.ts >= p.ts""")
+asked("j9_positional_sql", "SELECT a.o_orderkey, b.c_custkey FROM (SELECT o_orderkey FROM far.orders ORDER BY o_totalprice, o_orderkey) a POSITIONAL JOIN (SELECT c_custkey FROM far.customer ORDER BY c_acctbal DESC, c_custkey) b")
+asked("j15_quantified_sql", """SELECT c_custkey, nullif(c_nationkey, 9) > ANY (SELECT nullif(s_nationkey, 24) FROM far.supplier) AS gt_any, nullif(c_nationkey, 9) <= ALL (SELECT nullif(s_nationkey, 24) FROM far.supplier) AS le_all,
+nullif(c_nationkey, 9) <> ANY (SELECT s_nationkey FROM far.supplier) AS ne_any, nullif(c_nationkey, 9) = ANY (SELECT nullif(s_nationkey, 24) FROM far.supplier) AS eq_any FROM far.customer""")
+asked("a5_ordered_sql", "SELECT o_custkey, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS keys, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS marks FROM far.orders GROUP BY o_custkey")
+asked("a9_distinct_on_sql", "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM far.orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
+asked("a12_pivot_sql", "PIVOT far.orders ON o_orderpriority IN ('1-URGENT', '5-LOW', 'none such') USING count(*) GROUP BY o_orderstatus")
+asked("w8_filter_sql", "SELECT o_orderkey, count(*) FILTER (WHERE o_totalprice > 100000) OVER (PARTITION BY o_custkey) AS big, count(DISTINCT o_orderstatus) OVER (PARTITION BY o_custkey) AS marks FROM far.orders")
+asked("w10_exclude_sql", """SELECT c_custkey, CAST(sum(c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING EXCLUDE CURRENT ROW) AS BIGINT) AS row_,
+CAST(sum(c_custkey) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey RANGE BETWEEN 3 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) AS BIGINT) AS group_,
+count(*) OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE TIES) AS ties_ FROM far.customer""")
+asked("w11_groups_sql", "SELECT p_partkey, CAST(sum(p_size) OVER (PARTITION BY p_brand ORDER BY p_size GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS BIGINT) AS s, count(*) OVER (ORDER BY p_brand GROUPS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS n FROM far.part")
+asked("o3_limit_percent_sql", "SELECT o_orderkey FROM far.orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 12%")
+asked("o8_by_name_sql", "SELECT n_name AS name, n_regionkey AS region FROM far.nation UNION ALL BY NAME SELECT r_regionkey AS region, r_name AS label FROM far.region")
+asked("o11_materialized_sql", "WITH big AS MATERIALIZED (SELECT o_custkey, count(*) AS n FROM far.orders GROUP BY o_custkey) SELECT a.n, count(*) AS customers FROM big a JOIN big b ON a.o_custkey = b.o_custkey GROUP BY a.n")
+asked("o11_volatile_once", "WITH r AS MATERIALIZED (SELECT o_orderkey, rand() AS x FROM far.orders) SELECT count(*) AS n FROM r a JOIN r b ON a.o_orderkey = b.o_orderkey AND a.x = b.x", "SELECT count(*) AS n FROM orders")
+asked("t1_types", "SELECT CAST(1 AS BOOLEAN) AS b, CAST(-7 AS TINYINT) AS i8, CAST(300 AS SMALLINT) AS i16, CAST(70000 AS INTEGER) AS i32, CAST(5000000000 AS BIGINT) AS i64, CAST(1.5 AS FLOAT) AS f, CAST(2.25 AS DOUBLE) AS d, CAST(12.34 AS DECIMAL(10,2)) AS c, CAST('x' AS VARCHAR) AS s, CAST('2024-02-29' AS DATE) AS dt, r_name FROM far.region")
+
+
+def said(name: str, statements: list[str], sql: str, key: str = "PRIMARY KEY") -> None:
+    """Statements on a copy of customer, and the table after them, or the rows of the last one."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = Engine(spark)
+        e.attach("far", VersionedSource(spark, scratch(spark)))
+        e.attach("near", ParquetDirSource(spark, sf_dir))
+        e.sql(f"CREATE TABLE far.customer (c_custkey BIGINT {key}, c_name VARCHAR DEFAULT 'nobody', c_nationkey INTEGER DEFAULT 7, c_acctbal DOUBLE)")
+        e.sql("INSERT INTO far.customer SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM near.customer")
+        for s in statements:
+            df = e.sql(s)
+        return df if "RETURNING" in s or s.startswith("SELECT") else e.table("far.customer")
+
+    QUERIES[name], ORACLES[name] = run, sql
+
+
+said("d1_insert_sql", ["INSERT INTO far.customer (c_custkey) SELECT s_suppkey + 1000000 FROM near.supplier", "INSERT INTO far.customer VALUES (-1, 'a', 1, 1.5), (-2, NULL, NULL, NULL)"],
+     f"{C4} UNION ALL SELECT s_suppkey + 1000000, 'nobody', 7, NULL FROM supplier UNION ALL SELECT -1, 'a', 1, 1.5 UNION ALL SELECT -2, NULL, NULL, NULL")
+said("d2_insert_defaults_sql", ["INSERT INTO far.customer DEFAULT VALUES"], f"{C4} UNION ALL SELECT NULL, 'nobody', 7, NULL", key="")
+said("d3_update_sql", ["UPDATE far.customer SET c_nationkey = 0, c_acctbal = c_acctbal + 100 WHERE c_acctbal < 0"], ORACLES["d3_update"])
+said("d3_update_from_sql", ["UPDATE far.customer AS c SET c_name = n.n_name FROM near.nation n WHERE c.c_nationkey = n.n_nationkey AND n.n_regionkey = 1"], ORACLES["d3_update_from"])
+said("d4_delete_sql", ["DELETE FROM far.customer WHERE c_acctbal < 0", "DELETE FROM far.customer c USING near.nation n WHERE c.c_nationkey = n.n_nationkey AND n.n_regionkey = 2"], ORACLES["d4_delete"])
+said("d5_merge_sql", ["""MERGE INTO far.customer AS t USING (SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM near.customer WHERE c_nationkey <= 9 UNION ALL SELECT c_custkey + 5000000, c_name, c_nationkey, c_acctbal FROM near.customer WHERE c_nationkey < 2) AS s
+ON t.c_custkey = s.c_custkey WHEN MATCHED AND s.c_custkey % 2 = 1 THEN DELETE WHEN MATCHED THEN UPDATE SET c_acctbal = t.c_acctbal + 1 WHEN NOT MATCHED THEN INSERT (c_custkey, c_name, c_nationkey, c_acctbal) VALUES (s.c_custkey, s.c_name, s.c_nationkey, s.c_acctbal)"""], ORACLES["d5_merge"])
+said("d6_on_conflict_sql", ["INSERT INTO far.customer SELECT c_custkey + (c_nationkey % 2) * 7000000, 'new', c_nationkey, c_acctbal FROM near.customer ON CONFLICT (c_custkey) DO UPDATE SET c_name = excluded.c_name, c_acctbal = customer.c_acctbal + 1"],
+     "SELECT c_custkey, CASE WHEN c_nationkey % 2 = 0 THEN 'new' ELSE c_name END AS c_name, c_nationkey, CASE WHEN c_nationkey % 2 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer UNION ALL SELECT c_custkey + 7000000, 'new', c_nationkey, c_acctbal FROM customer WHERE c_nationkey % 2 = 1")
+said("d7_returning_sql", ["UPDATE far.customer SET c_acctbal = c_acctbal * 2 WHERE c_nationkey = 4 RETURNING c_custkey, c_acctbal - 1 AS less"], "SELECT c_custkey, c_acctbal * 2 - 1 AS less FROM customer WHERE c_nationkey = 4")
+said("d7_returning_deleted_sql", ["DELETE FROM far.customer WHERE c_acctbal < 0 RETURNING *"], f"{C4} WHERE c_acctbal < 0")
+said("d8_narrowing_sql", ["UPDATE far.customer SET c_name = c_name, c_acctbal = c_acctbal + 1, c_custkey = c_custkey WHERE c_nationkey = 3"], "SELECT c_custkey, c_name, c_nationkey, CASE WHEN c_nationkey = 3 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM customer")
+said("d9_bare_writes_sql", ["UPDATE far.customer SET c_acctbal = 1, c_name = NULL"], "SELECT c_custkey, CAST(NULL AS VARCHAR) AS c_name, c_nationkey, CAST(1 AS DOUBLE) AS c_acctbal FROM customer")
+said("d10_create_table_as_sql", ["CREATE TABLE far.counts AS SELECT c_nationkey, count(*) AS n FROM far.customer GROUP BY c_nationkey", "SELECT * FROM far.counts"], "SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey")
+said("d11_create_view_sql", ["CREATE VIEW far.rich AS SELECT c_custkey, c_nationkey FROM far.customer WHERE c_acctbal > 5000", "SELECT c_custkey FROM far.rich WHERE c_nationkey < 5"], "SELECT c_custkey FROM customer WHERE c_acctbal > 5000 AND c_nationkey < 5")
+said("d12_alter_sql", ["ALTER TABLE far.customer ADD COLUMN note VARCHAR", "ALTER TABLE far.customer RENAME COLUMN c_name TO label", "ALTER TABLE far.customer DROP COLUMN c_acctbal", "UPDATE far.customer SET note = 'n' WHERE c_nationkey = 1"],
+     "SELECT c_custkey, c_name AS label, c_nationkey, CASE WHEN c_nationkey = 1 THEN 'n' END AS note FROM customer")
+said("d14_transaction_sql", ["BEGIN", "DELETE FROM far.customer WHERE c_nationkey = 2", "ROLLBACK", "BEGIN", "DELETE FROM far.customer WHERE c_nationkey = 1", "UPDATE far.customer SET c_name = 'x' WHERE c_nationkey = 5", "COMMIT"],
+     "SELECT c_custkey, CASE WHEN c_nationkey = 5 THEN 'x' ELSE c_name END AS c_name, c_nationkey, c_acctbal FROM customer WHERE c_nationkey <> 1")
+said("d15_reads_before_writes_sql", ["INSERT INTO far.customer SELECT c_custkey + 10000000, c_name, c_nationkey, c_acctbal FROM far.customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM far.customer)"],
+     f"{C4} UNION ALL SELECT c_custkey + 10000000, c_name, c_nationkey, c_acctbal FROM customer WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer)")
+
+REFUSED = [
+    "CREATE INDEX i ON far.r (r_regionkey)", "CREATE SCHEMA far.s", "CREATE SEQUENCE far.q", "CREATE FUNCTION f() AS 1", "CREATE TYPE t AS INTEGER", "UPDATE far.r SET r_name = DEFAULT", "INSERT INTO far.r VALUES (DEFAULT, 'x')",
+    "INSERT INTO far.r (r_regionkey) VALUES (1) ON CONFLICT DO NOTHING", "WITH x AS (DELETE FROM far.r RETURNING *) SELECT * FROM x", "WITH x AS (SELECT 9 AS k) INSERT INTO far.r SELECT k, 'x' FROM x", "COPY far.r TO 'x'",
+    "CREATE VIEW far.v AS SELECT * FROM far.r JOIN (SELECT explode(sequence(1, 2)) AS k) n ON r_regionkey = n.k", "MERGE INTO far.r USING (VALUES (1), (1)) s(k) ON r_regionkey = s.k WHEN MATCHED THEN DELETE", "INSERT INTO far.r VALUES (1, 'twice')",
+]
+
+
+@frame("d13_refusals", f"SELECT CAST({len(REFUSED)} AS BIGINT) AS refused, count(*) AS n FROM region")
+def _(t, spark):
+    e = Engine(spark)
+    e.attach("far", VersionedSource(spark, scratch(spark)))
+    e.create_table_as("far.r", t("region"), ("r_regionkey",))
+    n = sum(outcome(e, s) == "refused" for s in REFUSED)
+    return e.sql(f"SELECT CAST({n} AS BIGINT) AS refused, count(*) AS n FROM far.r")
+
+
+@frame("d14_conflict", "SELECT 'conflict' AS outcome, count(*) + 1 AS n FROM region")
+def _(t, spark):
+    root = scratch(spark)
+    one, other = Engine(spark), Engine(spark)
+    one.attach("far", VersionedSource(spark, root))
+    one.create_table_as("far.r", t("region"))
+    other.attach("far", VersionedSource(spark, root))
+    for e, k in ((one, 10), (other, 20)):
+        e.begin()
+        e.sql(f"INSERT INTO far.r VALUES ({k}, 'x')")
+    one.commit()
+    try:
+        other.commit()
+        how = "lost"
+    except Conflict:
+        how = "conflict"
+    return other.sql(f"SELECT '{how}' AS outcome, count(*) AS n FROM far.r")
+
+
+@frame("d16_hooks", "SELECT r_regionkey, upper(r_name) AS r_name FROM region UNION ALL SELECT 9, 'NINE'")
+def _(t, spark):
+    def checked(verb: Verb, name: str, rows: DataFrame | None) -> DataFrame | None:
+        if verb is Verb.DELETE:
+            raise Refused("no row of this table is deleted")
+        return rows.withColumn("r_name", F.upper("r_name"))
+
+    e = Engine(spark)
+    e.attach("far", VersionedSource(spark, scratch(spark), writes=checked))
+    e.sql("CREATE TABLE far.r (r_regionkey INTEGER, r_name VARCHAR)")
+    e.insert("far.r", t("region"))
+    e.sql("INSERT INTO far.r VALUES (9, 'nine')")
+    outcome(e, "DELETE FROM far.r")
+    return e.table("far.r")

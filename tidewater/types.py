@@ -10,11 +10,14 @@ SIMPLE: dict[str, T.DataType] = {
     "BOOLEAN": T.BooleanType(), "TINYINT": T.ByteType(), "SMALLINT": T.ShortType(), "INTEGER": T.IntegerType(), "BIGINT": T.LongType(), "HUGEINT": T.DecimalType(38, 0),
     "FLOAT": T.FloatType(), "DOUBLE": T.DoubleType(), "VARCHAR": T.StringType(), "BLOB": T.BinaryType(), "DATE": T.DateType(), "TIMESTAMP": T.TimestampNTZType(),
     "TIMESTAMPTZ": T.TimestampType(), "UUID": T.StringType(), "INTERVAL": T.DayTimeIntervalType(),
+    "INT": T.IntegerType(), "TEXT": T.StringType(), "STRING": T.StringType(), "REAL": T.FloatType(),
 }
 if hasattr(T, "TimeType"):
     SIMPLE["TIME"] = T.TimeType()
 #: Where two names share a Spark type, the first one is written.
 NAMES = {v: k for k, v in reversed(SIMPLE.items())}
+#: Types that Spark lacks, and the narrowest that holds them: a source has their rules, so they are read and not named again.
+SIMPLE |= {"UTINYINT": T.ShortType(), "USMALLINT": T.IntegerType(), "UINTEGER": T.LongType(), "UBIGINT": T.DecimalType(20, 0)}
 
 
 def to_spark(name: str) -> T.DataType:
@@ -24,6 +27,8 @@ def to_spark(name: str) -> T.DataType:
         return T.ArrayType(to_spark(text[:-2]))
     if m := re.fullmatch(r"(?i)DECIMAL\s*\(\s*(\d+)\s*,\s*(\d+)\s*\)", text):
         return T.DecimalType(int(m[1]), int(m[2]))
+    if re.fullmatch(r"(?is)ENUM\s*\(.*\)|VARCHAR\s*\(\s*\d+\s*\)", text):
+        return T.StringType()
     if m := re.fullmatch(r"(?is)STRUCT\s*\((.*)\)", text):
         fields = [part.strip().split(None, 1) for part in split(m[1])]
         return T.StructType([T.StructField(n.strip('"'), to_spark(t)) for n, t in fields])
