@@ -64,11 +64,15 @@ def test_mixed_repeats_documents(documents):
     assert out.count() == 60
 
 
-def test_mixed_takes_each_row_by_itself(documents):
+@pytest.mark.parametrize("written", [False, True])
+def test_mixed_takes_each_row_by_itself(spark, documents, tmp_path, written):
     """Null and repeated ids, in sources with other rates, and columns with the names that the operator uses."""
     rows = [(None, f"n{i} " * 10, "en", "b") for i in range(11)] + [(None, f"m{i} " * 10, "en", "a") for i in range(40)]
     rows += [(7, f"r{i} " * 10, "en", "c") for i in range(10)] + [(None, "", "en", "b"), (3, None, None, None)]
-    df = documents(rows, _id=1, _copies=2, _key=3, _row=4, _k=5, _copy=6, size=7, copies=8, _h=9)
+    df = documents(rows, _id=1, _copies=2, _key=3, _row=4, _k=5, _copy=6, size=7, copies=8, _h=9, _file=10, _at=11)
+    if written:
+        df.repartition(3).write.parquet(f"{tmp_path}/docs")
+        df = spark.read.parquet(f"{tmp_path}/docs")
     taken = {}
     for r in mix(df).collect():
         taken[r.source] = taken.get(r.source, 0) + r.taken
@@ -77,6 +81,6 @@ def test_mixed_takes_each_row_by_itself(documents):
     got = {}
     for r in out.collect():
         got[r.source] = got.get(r.source, 0) + len(r.text.split())
-        assert (r._id, r._copies, r._key, r._row, r._k, r._copy, r["size"], r.copies, r._h) == tuple(range(1, 10))
+        assert (r._id, r._copies, r._key, r._row, r._k, r._copy, r["size"], r.copies, r._h, r._file, r._at) == tuple(range(1, 12))
     assert got == {s: n for s, n in taken.items() if n}
     assert mixed(documents([])).collect() == []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,15 +75,25 @@ def placed(base: DataFrame, share: float, weights: tuple[float, ...], most: floa
     return rows.withColumn("_u", offset(F.col("source"), seed)).withColumn("copies", F.least(crossed, F.ceil(F.lit(float(most)))).cast("long"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _file and _place, which name a row in the files that docs reads; if docs reads no files, in a table written here."""
+    try:
+        rows = docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"))
+    except AnalysisException:
+        return staged(docs.select("*", F.lit(0).cast("long").alias("_file"), F.monotonically_increasing_id().alias("_place")))
+    files = docs.select(F.col("_metadata.file_path").alias("p")).distinct().agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64("p")).alias("m")).first()
+    return rows if files.n == files.m else staged(rows.withColumn("_place", F.monotonically_increasing_id()))
+
+
 def mixed(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), most: float = 2.0, seed: int = 0) -> DataFrame:
     """docs with each row as often as `mix` takes it, row by row: rows that share a doc_id, or have none, are documents of
-    their own. Each row gets a key in a written table and is joined with its copies by that key, so no key is hot, and its
-    columns travel in one struct, whatever their names. Nulls, empty texts and empty tables: as in `mix`."""
+    their own. A row is joined with its copies by its place in the files that docs reads (see `keyed`), so no key is hot, and
+    its columns travel in one struct, whatever their names. Nulls, empty texts and empty tables: as in `mix`."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    kept = docs.select(row, "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_key"))
-    kept = staged(kept)
-    copies = placed(kept.drop("_row"), share, weights, most, seed).where("copies > 0").select(F.col("_key").alias("_k"), "copies")
-    again = kept.select("_row", "_key").join(copies, F.col("_key") == F.col("_k"))
+    rows = keyed(docs.select(row, "doc_id", "source", "text"))
+    base = staged(rows.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("_h"), "_file", "_place"))
+    copies = placed(base, share, weights, most, seed).where("copies > 0").select(F.col("_file").alias("_f"), F.col("_place").alias("_a"), "copies")
+    again = rows.select("_row", "_file", "_place").join(copies, (F.col("_file") == F.col("_f")) & (F.col("_place") == F.col("_a")))
     return again.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
