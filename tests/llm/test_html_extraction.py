@@ -58,17 +58,17 @@ def test_consensus_is_by_host(spark):
     prose = lambda n: " ".join(rng.choices("tide water shore light boat wind rope sand".split(), k=n))
     pages, want = [], {}
     for i in range(24):
-        own, other = prose(12 if i % 6 == 5 else 120), prose(90 if i % 6 == 5 else 10)
+        own, other = prose(12 if i % 5 == 4 else 120), prose(90 if i % 5 == 4 else 10)
         if i % 2:
             source = f"<body><div class=wrap><div class='story s{i}'><p>{own}</p></div></div><div class=box><p>{other}</p></div></body>"
         else:
-            source = f"<body><table><tr><td class=left><p>{other}</p></td><td class=mid><p>{own}</p></td></tr></table></body>"
+            source = f"<body><table><tr><td class=left><p>{other}</p></td><td class=text><p>{own}</p></td></tr></table></body>"
         pages.append((i, f"https://{'ab'[i % 2]}.org/{i}", source))
         want[i] = own
     got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == want
     alone = {i: Page(source).extract(None) for i, _, source in pages}
-    assert [i for i in alone if alone[i] != want[i]] == [5, 11, 17, 23]
+    assert [i for i in alone if alone[i] != want[i]] == [4, 9, 14, 19]
 
 
 @pytest.mark.parametrize(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.session import numbered, slices, staged
@@ -119,6 +119,14 @@ def cuts(sums: Prefix, capacity: int) -> list[int]:
     return found
 
 
+def place(value: Column, firsts: list[int], low: int = 0) -> Column:
+    """How many of `firsts`, in order, the value reaches: a tree of comparisons, as deep as the logarithm of their number."""
+    if not firsts:
+        return F.lit(low).cast("int")
+    mid = len(firsts) // 2
+    return F.when(value >= F.lit(firsts[mid]), place(value, firsts[mid + 1 :], low + mid + 1)).otherwise(place(value, firsts[:mid], low))
+
+
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, size, text_crc32, group_id, law, shard, slot, grown_shard.
 
@@ -139,7 +147,7 @@ def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     _, firsts = plan(groups.groupBy("gid").agg(F.sum("weight").alias("weight")), shards)
     of_group = groups.select(F.col("_same").alias("_g"), F.col("gid").alias("group_id"))
     rows = base.join(of_group, F.col("_same") == F.col("_g")).drop("_same", "_g")
-    number = sum((F.when(F.col("group_id") >= F.lit(g), 1).otherwise(0) for g in firsts), F.lit(0)).cast("int")
+    number = place(F.col("group_id"), firsts)
     n = slices(spark, groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], 2_000_000)
     rows = numbered(rows.withColumn("shard", number), n, ["shard"], ["doc_id", "text_crc32"], "slot")
     return rows.select("doc_id", "size", "text_crc32", "group_id", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
