@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.session import staged, together
+from tidewater.llm.session import staged, tidied, together
 
 #: Bytes of the vectors of one block of queries: what the driver holds and a pass over the rows broadcasts, one at a time.
 BLOCK_BYTES = 16 << 20
@@ -95,6 +95,7 @@ class Shard:
                 self.best[q] = s[top], v[top]
 
 
+@tidied
 def search(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """For each row of vectors(vec_id, embedding) whose vec_id is divisible by `every`: the k rows with the highest integer
     inner product, components being floor(256 * x). Columns query_id, rank (from 1), vec_id, score; ties go to the smaller

@@ -21,7 +21,7 @@ LEVELS = 6
 #: A part of the domain has three sub-parts; each two of them are a subset that makes a signature.
 SUBSETS = np.array([[0, 1], [0, 2], [1, 2]])
 #: Signatures that a task holds before it passes them on, and that lie in one bucket.
-HELD, BUCKET = 600_000, 600_000
+HELD, BUCKET = 400_000, 400_000
 #: One document in SAMPLED helps to find common signatures: those that COMMON of them have, the COMMONEST at most.
 #: This only decides an order, in which no link is lost; see `signatures`.
 SAMPLED, COMMON, COMMONEST = 32, 3, 200_000
@@ -29,7 +29,7 @@ SAMPLED, COMMON, COMMONEST = 32, 3, 200_000
 HOT = 75_000
 #: Members of open groups in one bucket; members, and bytes of their sketches, of one group that a block holds; the
 #: largest groups that are compared side by side.
-MEMBERS, GROUP, SKETCHES, FEW = 60_000, 6_000, 1 << 23, 128
+MEMBERS, GROUP, SKETCHES, FEW = 40_000, 6_000, 1 << 23, 128
 #: Classes, and elements of their sets, of one component that a block holds.
 BLOCK, ELEMENTS = 2_000, 1_000_000
 #: Bytes of text that are read at once, but for a longer text; and bytes of sketches that are compared at once.

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.session import staged
+from tidewater.llm.session import passing, staged
 
 #: Words of more characters are computed in logarithms, by a pass that holds a window of positions; the sums are the same.
 LONG = 24
@@ -21,7 +21,7 @@ SIDE_BY_SIDE, STRETCH = 1 << 16, 256
 #: Probability of a character that the vocabulary lacks, in any language.
 UNKNOWN = 1e-7
 #: A worker forgets its words beyond so many, or so many characters of them.
-CACHED, CACHED_CHARS = 400_000, 1 << 24
+CACHED, CACHED_CHARS = 150_000, 1 << 22
 UND = "und"
 
 _scorers: dict[str, "Scorer"] = {}
@@ -329,15 +329,16 @@ def identify(docs: DataFrame, vocabulary: str, carry: bool = False, **how) -> Da
     held out, not learned from. Repeated rows: a row each. Very long texts and words are scored whole, in a time that grows with
     their length.
     """
-    model = train(docs, vocabulary, **how)
     spark = docs.sparkSession
+    with passing(spark):
+        model = train(docs, vocabulary, **how)
     sent = spark.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for b in batches:
-            for i in range(0, len(b), 500):
-                part = b.slice(i, 500)
+            for i in range(0, len(b), 250):
+                part = b.slice(i, 250)
                 best, score = model.scorer().predict(part.column("text").to_pylist()) if model else ([-1] * len(part), [0.0] * len(part))
                 kept = [c for c in part.schema.names if c not in out[-2:]]
                 more = [pa.array([UND if k < 0 else model.langs[k] for k in best], pa.string()), pa.array([round(x, 9) for x in score], pa.float64())]

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.session import numbered, slices, small, staged
+from tidewater.llm.session import numbered, slices, small, staged, tidied
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,6 +46,7 @@ def offset(source: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / (1 << 20)
 
 
+@tidied
 def mix(docs: DataFrame, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1), most: float = 2.0, seed: int = 0) -> DataFrame:
     """One row for each row of docs(doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
 

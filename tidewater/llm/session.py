@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,15 +68,29 @@ def tidied(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
             made = _staged.pop()
         if _staged:
             _staged[-1].extend(made)
-        jvm, conf = kept.sparkSession._jvm, kept.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        for path in paths:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        delete(kept.sparkSession, paths)
         return kept
 
     return run
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged in this block are deleted at its end."""
+    _staged.append([])
+    try:
+        yield
+    finally:
+        delete(spark, _staged.pop())
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
 def together(tables: list[DataFrame]) -> DataFrame:
     """The rows of staged tables with the same columns, as one table."""
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[f for t in tables for f in t.inputFiles()])

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.session import numbered, slices, staged
+from tidewater.llm.session import numbered, slices, staged, tidied
 
 #: Most histogram rows that the driver asks for at once.
 HISTOGRAM_ROWS = 1 << 14
@@ -127,6 +127,7 @@ def place(value: Column, firsts: list[int], low: int = 0) -> Column:
     return F.when(value >= F.lit(firsts[mid]), place(value, firsts[mid + 1 :], low + mid + 1)).otherwise(place(value, firsts[:mid], low))
 
 
+@tidied
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, size, text_crc32, group_id, law, shard, slot, grown_shard.
 
