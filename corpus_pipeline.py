@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import decontamination, jaccard_join, language_id, mixing, sharding
 from tidewater.llm.queries import PIECES, vocabulary
-from tidewater.llm.session import read, small, staged
+from tidewater.llm.session import read, small, staged, tidied
 
 SHARDS = 16
 
@@ -69,6 +69,7 @@ STAGES = [("language ID", languages), ("n-gram Jaccard join", near_duplicates),
 ORACLE_SQL = None
 
 
+@tidied
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
