@@ -20,6 +20,15 @@ def test_asof(spark):
     assert go("left") == sorted([(1, 1, "a"), (1, 5, "c"), (2, 9, None), (None, 9, None)], key=str)
 
 
+def test_asof_with_a_hot_key_is_split(spark):
+    left = spark.range(3000).selectExpr("CASE WHEN id % 3 > 0 THEN 1 WHEN id % 5 = 0 THEN NULL ELSE id % 7 END AS k", "id * 37 % 1009 AS t", "id")
+    right = spark.range(400).selectExpr("CASE WHEN id % 2 = 0 THEN 1 ELSE id % 9 END AS u", "id * 53 % 1013 AS at", "id AS x")
+    for how, strict in (("inner", False), ("left", True)):
+        one, other = (joins.asof_join(left, right, "t", "at", {"k": "u"}, ["x"], how, strict, split) for split in (False, True))
+        assert pairs(one) == pairs(other)
+    assert joins.asof_join(left.limit(0), right, "t", "at", {"k": "u"}, ["x"], split=True).collect() == []
+
+
 def test_marks_with_nulls(spark):
     left = spark.createDataFrame([(1,), (2,), (None,)], "v int")
     for values, want in (([], [False] * 3), ([1, None], [True, None, None]), ([1, 2], [True, True, None])):

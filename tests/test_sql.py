@@ -18,6 +18,7 @@ QUERIES = [
     "SELECT id, amt / tenant AS q, amt / (tenant - 5) AS z, -amt / 0 AS m, 0 / 0 AS n, amt // 7 AS i FROM far.orders",
     "SELECT id, amt * 2 / tenant + 1 AS q, 100 / amt / 2 AS r, sum(amt) OVER () / count(*) OVER () AS a FROM far.orders",
     "SELECT id, concat(name, '-', id) AS c, name || '-' AS d FROM far.orders",
+    """SELECT "id", o."name" AS "a b", 'x\\n\\' AS s, 'it''s' AS q, 'say "hi"' AS h FROM far."orders" o WHERE "amt" > 20""",
     # IN as a value
     "SELECT id, name IN (SELECT name FROM far.orders WHERE id < 13) AS m FROM far.orders",
     "SELECT id, name NOT IN (SELECT name FROM far.orders WHERE id < 13) AS m FROM far.orders",
@@ -48,6 +49,7 @@ QUERIES = [
     "SELECT id, sum(amt) OVER (ORDER BY amt GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS s, count(*) OVER (PARTITION BY tenant ORDER BY amt GROUPS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS n FROM far.orders WHERE id < 16",
     "SELECT id, sum(amt) OVER (PARTITION BY tenant ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW) AS s, count(*) OVER (ORDER BY id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS n FROM far.orders",
     "SELECT id, sum(amt) OVER (ORDER BY amt RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP) AS g, sum(amt) OVER (ORDER BY amt RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE TIES) AS t, avg(amt) OVER (ORDER BY amt ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE GROUP) AS a, count(name) OVER (ORDER BY amt RANGE BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE NO OTHERS) AS o FROM far.orders",
+    "SELECT id, max(amt) OVER (ORDER BY id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) AS a, min(amt) OVER (PARTITION BY tenant ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE CURRENT ROW) AS b FROM far.orders",
     # limits, sets, CTEs
     "SELECT id FROM far.orders ORDER BY id LIMIT 50%",
     "SELECT id FROM far.orders ORDER BY amt DESC, id LIMIT 34 PERCENT",
@@ -102,8 +104,8 @@ def test_same_as_duckdb(spark, seed, duck, sql):
 
 
 @pytest.mark.parametrize("sql", [
-    "SELECT id, max(amt) OVER (ORDER BY id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE CURRENT ROW) FROM far.orders", "SELECT sum(amt) OVER (GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM far.orders",
-    "SELECT * FROM (SELECT id FROM far.orders LIMIT 10%)", "SELECT (id, amt) IN (SELECT id, amt FROM far.archive) FROM far.orders", "SELECT a.id FROM far.orders a ASOF JOIN far.archive b ON a.id = b.id",
+    "SELECT id, max(amt) OVER (ORDER BY id RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE GROUP) FROM far.orders", "SELECT sum(amt) OVER (GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) FROM far.orders",
+    "SELECT * FROM (far.orders a ASOF JOIN far.archive b ON a.id = b.id AND a.ts >= b.ts) JOIN far.customers c ON a.tenant = c.tenant", "SELECT * FROM (SELECT id FROM far.orders LIMIT 10%)", "SELECT (id, amt) IN (SELECT id, amt FROM far.archive) FROM far.orders", "SELECT a.id FROM far.orders a ASOF JOIN far.archive b ON a.id = b.id",
     "SELECT a.id FROM far.orders a JOIN far.customers c ON a.tenant = c.tenant ASOF JOIN far.archive b ON a.ts >= b.ts", "SELECT list(id ORDER BY amt, id DESC) FROM far.orders",
 ])
 def test_refused(spark, seed, sql):

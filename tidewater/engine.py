@@ -137,7 +137,7 @@ class Engine:
         out = explain.lines(root)
         for s in placed:
             out.append(f"Runs on source {', '.join(s.attachments)}: {', '.join(s.operators) or 'scan'} over {', '.join(s.tables)}")
-            out += [f"Sends rows: {', '.join(s.sends)}"] * bool(s.sends)
+            out += [f"Sends rows: {', '.join(s.sends)} ({explain.estimate(s)})"] * bool(s.sends)
             out.append(f"Returns rows: {', '.join(s.returns)}")
         return "\n".join([*out, "", df._jdf.queryExecution().toString()])
 

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from tidewater.staging import staged
 
 
-def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: dict[str, str], take: list[str], how: str = "inner", strict: bool = False) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: dict[str, str], take: list[str], how: str = "inner", strict: bool = False, split: bool = False) -> DataFrame:
     """left with `take` of the last right row with equal keys whose right_on <= left_on (< if strict).
 
     One shuffle by the keys of both sides together: rows are sorted by time and the last right row is carried forward, so
-    nothing is joined pairwise. A key of which one side has most rows is one task's work; give more keys to split it.
+    nothing is joined pairwise. A key with most of the rows is one task's work, unless `split` is set: then rows are
+    range-sorted by key and time, so that such a key spreads over many tasks, and what a range ends with is carried into the next.
     how: inner (left rows without a match go) or left. Null keys and times match nothing. Among right rows of one time,
     the one with the greatest `take` counts.
     """
@@ -24,8 +25,12 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     both = marked.unionByName(seen, allowMissingColumns=True)
     # at one time, right rows come first (or last, if a match has to be earlier)
     first = F.when(F.col("_l").isNull(), F.lit(1 if strict else 0)).otherwise(F.lit(0 if strict else 1))
-    w = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy(F.col("_t").asc_nulls_first(), first).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_l IS NOT NULL")
+    names, order = [f"_k{i}" for i in range(len(keys))], [F.col("_t").asc_nulls_first(), first]
+    if split:
+        found = carried(both, names, order).where("_l IS NOT NULL")
+    else:
+        w = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = both.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_l IS NOT NULL")
     for i in range(len(keys)):
         found = found.withColumn("_r", F.when(F.col(f"_k{i}").isNotNull(), F.col("_r")))
     if how == "inner":
@@ -33,6 +38,24 @@ def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by
     return found.select("_l.*", *[F.col("_r").getField(c).alias(c) for c in take])
 
 
+def carried(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """rows with _r being the last _r that isn't null of the same keys up to the row, in order. Ranges of (keys, order) are tasks; what
+    the last row of a range has goes on to the next range, if that begins with its keys: one row for each range."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    laid = staged(rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    laid = laid.withColumn("_part", F.shiftright("_at", 33))
+    within = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    laid = laid.withColumn("_own", F.last("_r", ignorenulls=True).over(within))
+    ends = staged(laid.groupBy("_part").agg(F.max_by(F.struct(*keys, "_own"), "_at").alias("e")).select("_part", "e.*"))
+    so_far = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    ends = ends.select(F.lead("_part").over(Window.orderBy("_part")).alias("_next"), *[F.col(k).alias(f"_e{k}") for k in keys], F.last("_own", ignorenulls=True).over(so_far).alias("_before"))
+    on = F.col("_part") == F.col("_next")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_e{k}"))
+    return laid.join(F.broadcast(ends), on, "left").withColumn("_r", F.coalesce("_own", "_before"))
+
+
 def positional_join(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column]) -> DataFrame:
     """Rows side by side in the given orders; the shorter side is filled with nulls.
 

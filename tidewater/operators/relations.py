@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewater.operators.joins import numbered
+from tidewater.staging import staged
 
 
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -58,9 +59,9 @@ def sum_excluding_current(value: Column, w: WindowSpec) -> Column:
 
 def frame_by_column(df: DataFrame, partition: list[str], order: list[Column], back: str, value: str, name: str) -> DataFrame:
     """sum(value) over the row and the `back` rows before it, where `back` is a column: a frame whose bound is no constant.
-    Sums up to a row, less the sum up to where its frame starts."""
+    Sums up to a row, less the sum up to where its frame starts; both are read from one written table."""
     w = Window.partitionBy(*partition).orderBy(*order)
-    rows = df.withColumn("_n", F.row_number().over(w)).withColumn("_sum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = staged(df.withColumn("_n", F.row_number().over(w)).withColumn("_sum", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))))
     starts = rows.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(partition)], F.col("_n").alias("_m"), F.col("_sum").alias("_before"))
     on = F.col("_n") - F.greatest(F.col(back), F.lit(0)) - 1 == F.col("_m")
     for i, p in enumerate(partition):
@@ -70,8 +71,9 @@ def frame_by_column(df: DataFrame, partition: list[str], order: list[Column], ba
 
 
 def limit_percent(df: DataFrame, order: list[Column], percent: float) -> DataFrame:
-    """The first `percent` of the rows, rounded down. The order should be total."""
-    return df.orderBy(*order).limit(int(df.count() * percent / 100))
+    """The first `percent` of the rows, rounded down. The order should be total. The input is computed once, into a table."""
+    rows = staged(df)
+    return rows.orderBy(*order).limit(int(rows.count() * percent / 100))
 
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:

@@ -28,6 +28,9 @@ ENDS_OPERAND = {
 CUTS_FACTOR = ENDS_OPERAND | {"+", "-", "||", "as"}
 #: Aggregates that no order of their rows changes.
 UNORDERED = set("sum count min max avg stddev variance bool_and bool_or median bit_and bit_or bit_xor".split())
+JOIN_WORDS = set("join left right inner full semi anti cross natural outer".split())
+#: Statements of Spark that are no queries: they run as they are.
+AS_IT_IS = set("explain show describe desc set reset refresh cache uncache analyze list".split())
 VOLATILE = set("rand random randn uuid tablesample shuffle".split())
 
 
@@ -83,7 +86,7 @@ class Dialect:
         self.engine, self.spark, self.named, self.ctes = engine, engine.spark, named, ctes or []
 
     def frame(self, sql: str) -> DataFrame:
-        parts = tokens(sql)
+        parts = [self.quoted(t) for t in tokens(sql)]
         while parts and (blank(parts[-1]) or parts[-1] == ";"):
             parts.pop()
         percent = None
@@ -91,13 +94,30 @@ class Dialect:
         if len(tail) == 3 and tail[0].lower() == "limit" and (tail[2] == "%" or tail[2].lower() == "percent"):
             percent, at = float(tail[1]), max(i for i, t in enumerate(parts) if t.lower() == "limit")
             parts = parts[:at]
-        df = self.spark.sql(self.named(self.query(parts)))
+        text = self.query(parts)
+        self.refuse_traps(text)
+        df = self.spark.sql(self.named(text))
         if percent is None:
             return df
         rows = df.withColumn("_tidewater_at", F.monotonically_increasing_id())
         kept = staged(rows)  # its places are those of the order, so neither the input nor the order is computed twice
         return kept.orderBy("_tidewater_at").limit(int(kept.count() * percent / 100)).drop("_tidewater_at")
 
+    @staticmethod
+    def refuse_traps(text: str) -> None:
+        """What is left of forms that Spark would take for something else: words before JOIN that it reads as an alias."""
+        low = [t.lower() for t in tokens(text) if not blank(t)]
+        for a, b in zip(low, low[1:], strict=False):
+            if a in ("asof", "positional") and b in JOIN_WORDS:
+                raise Refused(f"{a.upper()} JOIN in this place")
+
+    @staticmethod
+    def quoted(token: str) -> str:
+        """A name in double quotes and a backslash in a text, as Spark writes them."""
+        if token[0] == '"':
+            return "`" + plain(token).replace("`", "``") + "`"
+        return token.replace("\\", "\\\\") if token[0] == "'" else token
+
     def part(self, sql: str) -> DataFrame:
         """A part of the statement as a frame of its own; it sees the CTEs before it."""
         prefix = f"WITH {', '.join(self.ctes)} " if self.ctes else ""
@@ -111,6 +131,8 @@ class Dialect:
             return self.with_(parts)
         if first == "pivot":
             return self.pivot(parts)
+        if first in AS_IT_IS:
+            return joined(parts)
         cuts, found = [], words(parts)
         for n, (i, w) in enumerate(found):
             if w in ("union", "except", "intersect", "minus"):
@@ -280,7 +302,7 @@ class Dialect:
     def from_(self, parts: list[str]) -> tuple[str, list[str]]:
         """The clause's text, and the names of what stands for the sides of joins in it, which `*` leaves out."""
         found, star = words(parts), []
-        at = next((n for n, (_, w) in enumerate(found) if w in ("asof", "positional") and n + 1 < len(found) and found[n + 1][1] in ("join", "left", "right", "inner", "full", "semi", "anti", "cross", "natural", "outer")), None)
+        at = next((n for n, (_, w) in enumerate(found) if w in ("asof", "positional") and n + 1 < len(found) and found[n + 1][1] in JOIN_WORDS), None)
         if at is None:
             return self.expression(parts), star
         kind, n = found[at][1], at + 1
@@ -292,10 +314,10 @@ class Dialect:
             raise Refused(f"{kind.upper()} {' '.join(how).upper()} JOIN")
         left, right = parts[: found[at][0]], parts[found[n][0] + 1 :]
         if any(w in ("join", ",") for _, w in words(left)):
-            raise Refused(f"{kind.upper()} JOIN behind another join; put that one in parentheses")
+            raise Refused(f"{kind.upper()} JOIN behind another join; make that one a query in parentheses")
         ends = [(i, w) for i, w in words(right) if w in ("on", "using", "join", ",", "inner", "left", "right", "full", "cross", "asof", "positional")]
         if any(w in ("join", ",", "asof", "positional") for _, w in ends):
-            raise Refused(f"{kind.upper()} JOIN before another join; put it in parentheses")
+            raise Refused(f"{kind.upper()} JOIN before another join; make it a query in parentheses")
         cut = ends[0] if ends else (len(right), "")
         condition, using = (right[cut[0] + 1 :], cut[1] == "using") if cut[1] in ("on", "using") else ([], False)
         sides = [self.side(left, kind), self.side(right[: cut[0]], kind)]
@@ -522,6 +544,11 @@ class Dialect:
         whole = re.sub(r"(?i)\s*\bexclude\s+(current\s+row|group|ties|no\s+others)\s*\)\s*$", ")", spec)
         if what == "no others":
             return f"{name}({value}) OVER {whole}"
+        sides = re.search(r"(?is)\brows\s+between\s+(unbounded\s+preceding|\d+\s+preceding|current\s+row)\s+and\s+(unbounded\s+following|\d+\s+following|current\s+row)\s*\)$", whole)
+        if name in ("min", "max") and what == "current row" and sides:  # what lies before and what lies behind
+            frames = [f"{a} AND {b}" for a, b, there in ((sides[1], "1 PRECEDING", sides[1]), ("1 FOLLOWING", sides[2], sides[2])) if not re.match(r"(?i)current|0\s", there)]
+            found = [f"{name}({value}) OVER {whole[: sides.start()]}ROWS BETWEEN {f})" for f in frames]
+            return f"{'least' if name == 'min' else 'greatest'}({', '.join(found)})" if len(found) == 2 else found[0] if found else "NULL"
         rows = bool(re.search(r"(?i)\brows\b", whole)) and not re.search(r"(?i)unbounded\s+preceding\s+and\s+unbounded\s+following", whole)
         holds = re.search(r"(?i)between\s+(unbounded|current|\d+|\S+)\s+(preceding|row)\s+and\s+(current\s+row|\S+\s+following)", whole) or re.search(r"(?i)(rows|range)\s+(unbounded\s+preceding|current\s+row)", whole)
         if name not in ("sum", "count", "avg") or not holds or rows and what != "current row":

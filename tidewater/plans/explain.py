@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from tidewater.plans.placement import ANYWHERE, NEAR, Node
+from tidewater.plans.placement import ANYWHERE, NEAR, Node, Slice
+
+
+def estimate(placed: Slice) -> str:
+    """Spark's estimate of what is sent. It is shown, and decides nothing."""
+    stats = [n.seam.java.stats() for n in placed.root.walk() if n.seam and n.seam.java is not None]
+    rows = [s.rowCount().get().toString() if s.rowCount().isDefined() else f"{s.sizeInBytes()} bytes of" for s in stats]
+    return " and ".join(f"about {r} rows" for r in rows)
 
 
 def lines(node: Node, depth: int = 0) -> list[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-TOKEN = re.compile(r"""'(?:[^'\\]|''|\\.)*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|[A-Za-z_][A-Za-z_0-9]*|\d[\w.]*|\s+|::|<>|<=>|<=|>=|!=|\|\||->|=>|//|.""", re.S)
+TOKEN = re.compile(r"""'(?:[^']|'')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`|--[^\n]*|/\*.*?\*/|[A-Za-z_][A-Za-z_0-9]*|\d[\w.]*|\s+|::|<>|<=>|<=|>=|!=|\|\||->|=>|//|.""", re.S)
 NAME = re.compile(r"[A-Za-z_`\"]")
 #: Words after a table that are not its alias.
 AFTER = set("on using where group order having limit offset join inner left right full cross semi anti natural union except intersect minus window lateral tablesample pivot unpivot set values when as select qualify cluster distribute sort asof positional returning fetch".split())
@@ -65,7 +65,8 @@ def relations(parts: list[str]) -> set[int]:
             if len(states) > 1:
                 states.pop()
         elif word in ("from", "join", "into", "update", "using") and not (word == "from" and (before[-1] == "distinct" or state["call"] in FROM_WITHIN)):
-            state["from"] = state["expect"] = word != "using" or not any(p.lower() == "join" for p in parts[:i])
+            if word != "using" or not any(p.lower() == "join" for p in parts[:i]):  # else it names a join's columns
+                state["from"] = state["expect"] = True
         elif word == "table" and before[-1] in ("", "(", "create", "drop", "alter", "replace", "truncate"):
             state["expect"] = True
         elif word == "," and state["from"]:

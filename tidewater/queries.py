@@ -25,6 +25,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Spark's text of queries that are one text.
+TEXTS: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +46,7 @@ def both(name: str, sql: str, spark_sql: str | None = None) -> None:
         views(spark, sf_dir, spark_sql or sql)
         return spark.sql(spark_sql or sql)
 
-    QUERIES[name], ORACLES[name] = run, sql
+    QUERIES[name], ORACLES[name], TEXTS[name] = run, sql, spark_sql or sql
 
 
 def frame(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
