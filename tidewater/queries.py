@@ -91,7 +91,7 @@ both("p12_unnest_outer", "SELECT c_custkey, s.k FROM customer LEFT JOIN (SELECT
      "SELECT c_custkey, explode_outer(CASE WHEN c_acctbal > 0 THEN array(c_nationkey, c_nationkey + 1) ELSE array() END) AS k FROM customer")
 both("p13_like", "SELECT p_partkey, p_name LIKE '%a%' AS a, p_name NOT LIKE '_b%' AS b, p_type ILIKE '%STEEL%' AS c, p_type NOT ILIKE 'promo%' AS d FROM part")
 both("p14_list_transform", "SELECT vec_id, list_sum(list_transform(embedding, lambda x: CAST(round(x * 100) AS BIGINT)))::BIGINT AS s FROM embeddings",
-     "SELECT vec_id, aggregate(transform(embedding, x -> CAST(round(x * 100) AS BIGINT)), 0L, (a, x) -> a + x) AS s FROM embeddings")
+     "SELECT vec_id, aggregate(filter(transform(embedding, x -> CAST(round(x * CAST(100 AS FLOAT)) AS BIGINT)), x -> x IS NOT NULL), CAST(NULL AS BIGINT), (a, x) -> coalesce(a, 0L) + x) AS s FROM embeddings")
 both("p15_volatile_stays", "SELECT count(*) AS n FROM nation WHERE random() >= 0", "SELECT count(*) AS n FROM nation WHERE rand() >= 0")
 both("p16_nested_expression", "SELECT c_custkey, upper(substr(c_name, 1, 3)) || '-' || CAST(c_nationkey AS VARCHAR) AS tag FROM customer WHERE length(trim(c_name)) > 3",
      "SELECT c_custkey, upper(substr(c_name, 1, 3)) || '-' || CAST(c_nationkey AS STRING) AS tag FROM customer WHERE length(trim(c_name)) > 3")
