@@ -26,6 +26,18 @@ def divide_int(a: Column, b: Column) -> Column:
     return F.when(b != 0, F.call_function("div", a, b))
 
 
+def round_double(x: Column, digits: int = 0) -> Column:
+    """x in double precision, scaled, rounded half away from zero and scaled back, as sources round doubles. F.round goes by
+    x's decimals: 1.005 to two digits is 1.01 there and 1.0 here. Where scaling overflows, x stays; to more digits before the
+    point than a double has, it is 0."""
+    x, by = x.cast("double"), F.lit(float(f"1e{abs(digits)}"))
+    scaled = x / by if digits < 0 else x * by
+    even = F.rint(scaled)
+    whole = F.when(F.abs(scaled - even) == 0.5, scaled + F.signum(scaled) * 0.5).otherwise(even)
+    back = whole * by if digits < 0 else whole / by
+    return F.when(F.abs(back) < INF, back).otherwise(F.when(is_finite(x), F.lit(0.0)).otherwise(x) if digits < -308 else x)
+
+
 def concat(*args: Column) -> Column:
     """Null arguments are skipped."""
     return F.concat_ws("", *[a.cast("string") for a in args])

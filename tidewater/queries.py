@@ -326,7 +326,7 @@ c, lit = F.col, F.lit
 scalar("f1_arithmetic", "orders", {
     "k": lambda: c("o_orderkey"), "add_": lambda: fn.call("add", c("o_orderkey"), lit(7)), "sub": lambda: fn.call("subtract", c("o_orderkey"), lit(7)), "mul": lambda: fn.call("multiply", c("o_custkey"), lit(3)),
     "div_": lambda: fn.call("divide", c("o_custkey"), c("o_orderkey") % 3), "idiv": lambda: fn.call("divide_int", c("o_custkey"), lit(7)), "mod_": lambda: fn.call("modulus", -c("o_custkey"), lit(3)), "neg": lambda: fn.call("negate", c("o_custkey")),
-    "abs_": lambda: fn.call("abs", -c("o_custkey")), "sq": lambda: F.round(fn.call("sqrt", c("o_custkey")), 6), "pw": lambda: fn.call("power", (c("o_custkey") % 10).cast("double"), lit(2.0)), "ex": lambda: F.round(fn.call("exp", lit(1.0)), 6), "ln_": lambda: F.round(fn.call("ln", c("o_custkey") + 1), 6),
+    "abs_": lambda: fn.call("abs", -c("o_custkey")), "sq": lambda: fn.round_double(fn.call("sqrt", c("o_custkey")), 6), "pw": lambda: fn.call("power", (c("o_custkey") % 10).cast("double"), lit(2.0)), "ex": lambda: fn.round_double(fn.call("exp", lit(1.0)), 6), "ln_": lambda: fn.round_double(fn.call("ln", c("o_custkey") + 1), 6),
 }, """SELECT o_orderkey AS k, o_orderkey + 7 AS add_, o_orderkey - 7 AS sub, o_custkey * 3 AS mul, o_custkey / (o_orderkey % 3) AS div_, o_custkey // 7 AS idiv, (-o_custkey) % 3 AS mod_, -o_custkey AS neg, abs(-o_custkey) AS abs_,
 round(sqrt(o_custkey), 6) AS sq, power((o_custkey % 10)::DOUBLE, 2.0) AS pw, round(exp(1.0::DOUBLE), 6) AS ex, round(ln(o_custkey + 1), 6) AS ln_ FROM orders""")
 scalar("f2_rounding", "supplier", {"k": lambda: c("s_suppkey"), "f": lambda: fn.call("floor", c("s_acctbal")), "ce": lambda: fn.call("ceil", c("s_acctbal")), "r": lambda: fn.call("round", c("s_acctbal"), lit(0))},
